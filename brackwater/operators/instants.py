@@ -88,8 +88,10 @@ def _lookup(table: dict[str, int], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def epoch_seconds(value: Column, zone: str, month_first: bool = False) -> Column:
-    """UTC epoch seconds of a written time, or null when it names no real date.
+def with_epoch_seconds(
+    df: DataFrame, value_col: str, out_col: str, zone: str, month_first: bool = False
+) -> DataFrame:
+    """``df`` with the UTC epoch seconds of a written time, null when it names no real date.
 
     ``zone`` holds for values without a zone.  A date alone is the start of the
     local day; missing seconds are 0 and fractions are cut; an ambiguous local
@@ -98,64 +100,59 @@ def epoch_seconds(value: Column, zone: str, month_first: bool = False) -> Column
     the year leads; two-digit years are 20yy; 10 or 13 digits are an epoch in
     seconds or milliseconds.  Null, empty, unknown text, an unknown zone name
     and impossible calendar values give null.
+
+    The stages are separate projections so that each component is computed once
+    and the whole chain stays in generated code.
     """
-    parts = F.split(F.regexp_replace(value, PATTERN, _REPLACEMENT), _CUT)
-    rec = F.when(F.startswith(F.regexp_replace(value, PATTERN, _REPLACEMENT), F.lit(_MARK)), parts)
-    return F.transform(F.array(rec), lambda r: _assemble(r, zone, month_first))[0]
-
-
-def _assemble(r: Column, zone: str, month_first: bool) -> Column:
-    f = {k: (F.substring(r[i], 2, 99) if i == 0 else r[i]) for i, k in enumerate(_FIELDS)}
-    first, second = _int(f["a"]), _int(f["b"])
-    short = _int(f["w"])
-    year = F.coalesce(_int(f["y"]), F.when(F.length(f["w"]) == 2, short + 2000).otherwise(short))
-    name = F.translate(F.lower(f["n"]), _FOLD_FROM, _FOLD_TO)
-    month = F.coalesce(_int(f["m"]), _lookup(MONTHS, name), first if month_first else second)
-    day = F.coalesce(_int(f["d"]), second if month_first else first)
-    half = F.lower(F.substring(f["p"], 1, 1))
-    clock = _int(f["h"])
-    hour = (
-        F.when(half == "", clock)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    cut = df.select(*own, F.split(F.regexp_replace(F.col(value_col), PATTERN, _REPLACEMENT), _CUT).alias("_r"))
+    named = cut.select(*own, *(F.get("_r", F.lit(i)).alias(f"_{k}") for i, k in enumerate(_FIELDS)))
+    marked = F.startswith("_y", F.lit(_MARK))
+    year, first, second, short = _int(F.substring("_y", 2, 99)), _int(F.col("_a")), _int(F.col("_b")), _int(F.col("_w"))
+    clock, half = _int(F.col("_h")), F.lower(F.substring("_p", 1, 1))
+    dated = named.select(
+        *own,
+        F.when(marked, F.coalesce(year, F.when(short < 100, short + 2000).otherwise(short))).alias("_y"),
+        F.coalesce(
+            _int(F.col("_m")),
+            _lookup(MONTHS, F.translate(F.lower("_n"), _FOLD_FROM, _FOLD_TO)),
+            first if month_first else second,
+        ).alias("_m"),
+        F.coalesce(_int(F.col("_d")), second if month_first else first).alias("_d"),
+        F.when(F.col("_h") == "", 0)
+        .when(half == "", clock)
         .when((clock < 1) | (clock > 12), F.lit(None))
         .when(half == "a", clock % 12)
         .otherwise(clock % 12 + 12)
+        .alias("_h"),
+        F.coalesce(_int(F.col("_i")), F.lit(0)).alias("_i"),
+        F.coalesce(_int(F.col("_s")), F.lit(0)).alias("_s"),
+        F.regexp_replace("_z", ":", "").alias("_z"),
+        F.when(marked & (F.col("_e") != ""), F.col("_e").cast("long")).alias("_e"),
     )
-    dated = F.struct(
-        year.alias("y"), month.alias("m"), day.alias("d"),
-        F.when(f["h"] == "", 0).otherwise(hour).alias("h"),
-        F.when(f["i"] == "", 0).otherwise(_int(f["i"])).alias("i"),
-        F.when(f["s"] == "", 0).otherwise(_int(f["s"])).alias("s"),
-        f["z"].alias("z"), f["e"].alias("e"),
-    )
-    return F.transform(F.array(dated), lambda x: _instant(x, zone))[0]
-
-
-def _instant(x: Column, zone: str) -> Column:
-    y, m, d = x["y"], x["m"], x["d"]
+    y, m, d, h, i, s = (F.col(f"_{k}") for k in "ymdhis")
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    real = m.between(1, 12) & (d >= 1) & (d <= longest) & (y >= 1) & (x["h"] < 24) & (x["i"] < 60) & (x["s"] < 60)
+    real = m.between(1, 12) & (d >= 1) & (d <= longest) & (y >= 1) & (h < 24) & (i < 60) & (s < 60)
     whole = lambda c, by: F.floor(c / by)
-    years = y - F.when(m <= 2, 1).otherwise(0)
     days = (
-        years * 365 + whole(years, 4) - whole(years, 100) + whole(years, 400)
+        F.col("_n") * 365 + whole(F.col("_n"), 4) - whole(F.col("_n"), 100) + whole(F.col("_n"), 400)
         + whole(153 * ((m + 9) % 12) + 2, 5) + d - 1 - 719468
     )
-    local = days * 86400 + x["h"] * 3600 + x["i"] * 60 + x["s"]
-    digits = F.regexp_replace(x["z"], ":", "")
-    minutes = F.substring(digits, 2, 2).cast("int") * 60 + F.coalesce(
-        F.when(F.length(digits) == 5, F.substring(digits, 4, 2).cast("int")), F.lit(0)
+    checked = dated.select(*own, "_y", "_m", "_d", "_h", "_i", "_s", "_z", "_e", (y - F.when(m <= 2, 1).otherwise(0)).alias("_n"))
+    local = checked.select(*own, F.when(real, days * 86400 + h * 3600 + i * 60 + s).alias("_l"), "_z", "_e")
+    z = F.col("_z")
+    minutes = F.substring(z, 2, 2).cast("int") * 60 + F.when(F.length(z) == 5, F.substring(z, 4, 2).cast("int")).otherwise(0)
+    offset = (
+        F.when(F.startswith(z, F.lit("-")), F.when(minutes <= 1080, -minutes))
+        .when(F.startswith(z, F.lit("+")), F.when(minutes <= 1080, minutes))
+        .otherwise(_lookup(ZONES, z))
     )
-    signed = F.when(F.startswith(digits, F.lit("-")), -minutes).otherwise(minutes)
-    numbered = F.startswith(digits, F.lit("-")) | F.startswith(digits, F.lit("+"))
-    offset = F.when(numbered, F.when(minutes <= 1080, signed)).otherwise(_lookup(ZONES, x["z"]))
-    placed = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), zone))
-    epoch = F.when(F.length(x["e"]) == 13, F.floor(x["e"].cast("long") / 1000)).otherwise(x["e"].cast("long"))
-    return (
-        F.when(x["e"] != "", epoch)
-        .when(~F.coalesce(real, F.lit(False)), F.lit(None))
-        .when(x["z"] == "", placed)
-        .otherwise(local - offset * 60)
+    placed = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("_l"), zone))
+    epoch = F.when(F.col("_e") >= 10**12, F.floor(F.col("_e") / 1000)).otherwise(F.col("_e"))
+    return local.select(
+        *own,
+        F.when(F.col("_e").isNotNull(), epoch).when(z == "", placed).otherwise(F.col("_l") - offset * 60).alias(out_col),
     )
 
 
@@ -179,10 +176,14 @@ def normalise_instants(
     nothing; a null key stays a null ``rec_id``; other columns are ignored; an
     empty table gives an empty result.
     """
-    seconds = epoch_seconds(F.col(value_col), zone, month_first)
+    values = df.select(F.col(id_col).alias("rec_id"), F.col(value_col).alias("written"))
     return (
-        df.select(F.col(id_col).alias("rec_id"), seconds.alias("utc_seconds"))
-        .filter(F.col("utc_seconds").isNotNull())
+        with_epoch_seconds(values, "written", "utc_seconds", zone, month_first)
+        # The partition's number is not deterministic, which keeps the filter from being pushed
+        # down through the staged projections and every stage from being expanded into it.
+        .select("rec_id", "utc_seconds", F.spark_partition_id().alias("_at"))
+        .filter(F.col("utc_seconds").isNotNull() & (F.col("_at") >= 0))
+        .select("rec_id", "utc_seconds")
         .distinct()
         .select("rec_id", "utc_seconds", utc_text(F.col("utc_seconds")).alias("utc_text"))
     )

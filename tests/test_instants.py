@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from brackwater.operators.instants import epoch_seconds, normalise_instants, utc_text
+from brackwater.operators.instants import normalise_instants, utc_text, with_epoch_seconds
 
 CASES = [
     # value, zone, month first, expected
@@ -48,7 +48,7 @@ CASES = [
 def test_written_forms(spark, zone, month_first):
     rows = [(c[0], c[3]) for c in CASES if (c[1], c[2]) == (zone, month_first)]
     df = spark.createDataFrame(rows, "value string, want string")
-    got = df.select("value", "want", utc_text(epoch_seconds(F.col("value"), zone, month_first)).alias("got")).collect()
+    got = with_epoch_seconds(df, "value", "sec", zone, month_first).select("value", "want", utc_text(F.col("sec")).alias("got")).collect()
     assert [(r.value, r.got) for r in got] == [(r.value, r.want) for r in got]
 
 
@@ -56,7 +56,7 @@ def test_local_times_agree_with_zoneinfo(spark):
     for zone in ("Europe/Paris", "America/New_York"):
         start = dt.datetime(2024, 1, 1)
         texts = [(start + dt.timedelta(minutes=47 * i)).strftime("%Y-%m-%d %H:%M:%S") for i in range(12_000)]
-        got = {r.v: r.s for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", epoch_seconds(F.col("v"), zone).alias("s")).collect()}
+        got = {r.v: r.s for r in with_epoch_seconds(spark.createDataFrame([(t,) for t in texts], "v string"), "v", "s", zone).collect()}
         for t in texts:
             local = dt.datetime.strptime(t, "%Y-%m-%d %H:%M:%S").replace(tzinfo=ZoneInfo(zone), fold=0)
             assert got[t] == int(local.timestamp()), t
