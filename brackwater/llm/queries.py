@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from brackwater.llm import encoding, leaks
+from brackwater.llm import consolidate, encoding, leaks, survivor
 
 QUERIES = {
+    "p1_found": survivor.p1_found,
+    "p5_found": consolidate.p5_found,
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
-ORACLES = {"p9_found": leaks.P9_SQL}
+ORACLES = {"p1_found": survivor.P1_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
