@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from brackwater.llm import consolidate, encoding, leaks, survivor
+from brackwater.llm import consolidate, encoding, furniture, leaks, survivor
 
 QUERIES = {
     "p1_found": survivor.p1_found,
+    "p2_found": furniture.p2_found,
+    "p2_cleaned_documents": furniture.p2_cleaned_documents,
     "p5_found": consolidate.p5_found,
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
-ORACLES = {"p1_found": survivor.P1_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
+ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
