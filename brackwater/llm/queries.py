@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from brackwater.llm import consolidate, encoding, furniture, leaks, survivor
+from brackwater.llm import consolidate, encoding, furniture, history, leaks, survivor
 
 QUERIES = {
     "p1_found": survivor.p1_found,
     "p2_found": furniture.p2_found,
     "p2_cleaned_documents": furniture.p2_cleaned_documents,
+    "p4_found": history.p4_found,
     "p5_found": consolidate.p5_found,
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
