@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brackwater.llm import consolidate, encoding, furniture, history, leaks, survivor
+from brackwater.llm import consolidate, encoding, furniture, history, language, leaks, packing, survivor
 
 QUERIES = {
     "p1_found": survivor.p1_found,
@@ -10,6 +10,10 @@ QUERIES = {
     "p2_cleaned_documents": furniture.p2_cleaned_documents,
     "p4_found": history.p4_found,
     "p5_found": consolidate.p5_found,
+    "p7_found": language.p7_found,
+    "p7_languages": language.p7_languages,
+    "p8_packed": packing.p8_packed,
+    "p8_fill": packing.p8_fill,
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
