@@ -35,10 +35,10 @@ LABELS = {
 ORDERS = (2, 3, 4)
 BITS = 16
 #: Labelled documents taken for training from each language (those with the smallest hash of their id).
-TRAIN_DOCUMENTS = 250
+TRAIN_DOCUMENTS = 150
 #: A line's language is told from this many letters and spaces on, and counts as foreign from this confidence on.
 LEAST_CHARS = 12
-FOREIGN_CONFIDENCE = 0.5
+FOREIGN_CONFIDENCE = 0.8
 
 _KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
