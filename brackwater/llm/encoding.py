@@ -17,6 +17,7 @@ line back and round-trips.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import re
 import unicodedata
@@ -95,14 +96,18 @@ def _turned_back(line: str, chain: tuple[str, ...], spaced: bool) -> str | None:
 
 
 def _class(chars: set[str]) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
 
 
-def suspicious_pattern() -> str:
-    """Java pattern: a lead byte and a continuation byte of UTF-8, as any encoding shows them, or a lost character."""
-    pairs = {_class(set(t[0xC2:0xF5])) + _class(set(t[0x80:0xC0])) for t in _FORWARD.values()}
-    pairs.add(_class({"\u00c2", "\u00c3", "\u0102"}) + " ")
-    return "|".join([f"\\x{{{ord(LOST):x}}}", *sorted(pairs)])
+#: Quick JVM test, a superset of every garbled text: two neighbours beyond ASCII, a lead byte before a space, or a lost character.
+QUICK_PATTERN = r"[^\x00-\x7F]{2}|[\u00c2\u00c3\u0102] |\ufffd"
+#: A lead byte and a continuation byte of UTF-8 as any encoding shows them (or a plain space for byte A0), or a lost character.
+SUSPICIOUS = re.compile(
+    _class({c for t in _FORWARD.values() for c in t[0xC2:0xF5]})
+    + _class({c for t in _FORWARD.values() for c in t[0x80:0xC0]})
+    + "|[\u00c2\u00c3\u0102] |"
+    + LOST
+)
 
 
 _ASCII_CUT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -136,6 +141,12 @@ def _origins(token: str) -> bool:
     return any(ungarble(token, (e,)) is not None for e in _FORWARD)
 
 
+@functools.lru_cache(maxsize=300_000)
+def suspicious_token(token: str) -> bool:
+    """At least one encoding turns the token back, or would if byte A0 followed it."""
+    return _origins(token) or (token[-1] in "\u00c2\u00c3\u0102" and _origins(token + "\u00a0"))
+
+
 def garbled_forms(tokens: DataFrame) -> DataFrame:
     """(form, original, chain) of every clean word under every chain."""
 
@@ -165,7 +176,7 @@ def suspicious_tokens(tokens: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [t for t in batch.column(0).to_pylist() if _origins(t) or _origins(reopened(t + " "))]
+            held = [t for t in batch.column(0).to_pylist() if suspicious_token(t)]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["form"])
 
     return tokens.mapInArrow(keep, "form string")
@@ -173,6 +184,8 @@ def suspicious_tokens(tokens: DataFrame) -> DataFrame:
 
 def _restore_line(line: str, known: dict[str, list[tuple[str, int]]], usual: list[int]) -> str:
     tokens = tokens_of(line)
+    if not any(map(suspicious_token, tokens)):
+        return line
     votes = Counter(n for t in tokens for _, n in known.get(t, ()))
     order = [n for n, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))] + usual + list(range(len(CHAINS)))
     for n in dict.fromkeys(order):
@@ -190,21 +203,33 @@ def restore(text: str, known: dict[str, list[tuple[str, int]]]) -> str | None:
     if LOST in text:
         return ""
     usual = [n for n, _ in Counter(n for forms in known.values() for _, n in forms).most_common()]
-    restored = "\n".join(x if x.isascii() else _restore_line(x, known, usual) for x in text.split("\n"))
+    restored = "\n".join(x if x.isascii() or not SUSPICIOUS.search(x) else _restore_line(x, known, usual) for x in text.split("\n"))
     return None if restored == text else restored
 
 
+def _suspects(docs: DataFrame) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            held = [
+                i for i, t in enumerate(texts)
+                if LOST in t or any(any(map(suspicious_token, tokens_of(x))) for x in t.split("\n") if SUSPICIOUS.search(x))
+            ]
+            yield batch.take(pa.array(held, pa.int32()))
+
+    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id bigint, text string")
+
+
 def restore_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, text_md5) of every document that holds garbled characters.
 
     ``restored`` is the original text, or "" where characters were lost (the
     replacement character stands in the text).  Null and empty texts, and texts
-    without garbled characters, give no row; a repeated doc_id with the same
-    text gives one row; other columns are ignored; an empty table gives an
+    without garbled characters, give no row; a repeated doc_id counts once; other columns are ignored; an empty table gives an
     empty result.
     """
     docs = docs.select("doc_id", "text")
-    suspects = docs.filter(F.col("text").rlike(suspicious_pattern())).dropDuplicates(["doc_id", "text"])
+    suspects = _suspects(docs.filter(F.col("text").rlike(QUICK_PATTERN))).dropDuplicates(["doc_id"])
     tokens = _distinct_tokens(docs)
     matched = (
         garbled_forms(tokens)
@@ -217,7 +242,7 @@ def restore_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, forms = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for token in tokens_of(text):
+                for token in filter(suspicious_token, tokens_of(text)):
                     ids.append(doc_id)
                     forms.append(token)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["doc_id", "form"])
