@@ -1,0 +1,61 @@
+"""URL functions on columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Query keys dropped by the lenient form.
+LENIENT_KEYS = (
+    "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term",
+)
+#: Query key prefixes dropped by the scraper's form.
+SCRAPER_PREFIXES = ("utm_", "fbclid", "gclid", "mc_", "ref")
+
+
+def host(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def path(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+
+
+def query(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
+
+
+def _scheme(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+
+
+def _joined(u: Column, p: Column, q: Column) -> Column:
+    return F.concat(_scheme(u), F.lit("://"), host(u), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+
+def lenient(u: Column) -> Column:
+    """Lower scheme and host, single slashes, no closing slash, sorted query without tracking keys, no fragment."""
+    p = F.regexp_replace(F.regexp_replace(path(u), "/+", "/"), "/$", "")
+    kept = F.filter(F.split(query(u), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*LENIENT_KEYS))
+    return _joined(u, p, F.array_join(F.array_sort(kept), "&"))
+
+
+def scraper(u: Column) -> Column:
+    """Query keys dropped by prefix; order and closing slash kept, no fragment."""
+    kept = F.filter(F.split(query(u), "&"), lambda x: (x != "") & ~F.lower(x).rlike("^(" + "|".join(SCRAPER_PREFIXES) + ")"))
+    return _joined(u, path(u), F.array_join(kept, "&"))
+
+
+def path_parts(u: Column) -> Column:
+    return F.filter(F.split(F.lower(path(u)), "/"), lambda x: x != "")
+
+
+def collapsed_segments(p: Column) -> Column:
+    """A block of up to four path segments that repeats at once is kept once."""
+    return F.regexp_replace(p, r"((?:/[^/]+){1,4})\1(?=/|$)", "$1")
+
+
+def domains(u: Column) -> Column:
+    """The host with and without www."""
+    bare = F.regexp_replace(host(u), r"^www\.", "")
+    return F.array(bare, F.concat(F.lit("www."), bare))

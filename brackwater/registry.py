@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brackwater.plans import general
+from brackwater.plans import general, serving
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
-FLAGSHIP = "p6_found"
+QUERIES = {**general.QUERIES, **serving.QUERIES}
+ORACLES = {**general.ORACLES, **serving.ORACLES}
+FLAGSHIP = "ag01_totals"
