@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brackwater.plans import general, serving
+from brackwater.plans import general, linking, serving
 
-QUERIES = {**general.QUERIES, **serving.QUERIES}
-ORACLES = {**general.ORACLES, **serving.ORACLES}
+QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES}
+ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES}
 FLAGSHIP = "ag01_totals"
