@@ -4,8 +4,8 @@ Vertices are hashed into B blocks and every edge belongs to the cell (block of
 one end, block of the other end).  In each round every cell runs a local
 union-find and leaves a star: each vertex points to the smallest vertex that it
 reaches inside the cell.  Then the representatives that a vertex got in the
-cells of its row and column are exchanged: the smallest becomes its parent and
-the others are linked to it.  The rounds end when no vertex has two
+cells of its row and column are exchanged: the smallest becomes its parent, the
+others are linked to it, and parents hand on what they got.  The rounds end when no vertex has two
 representatives and no parent has a parent.
 
 A vertex meets at most 2B - 1 cells, so no group of a hub's edges comes into one
@@ -77,7 +77,9 @@ def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
         heads = durable(stars.groupBy("v").agg(F.min("p").alias("m"), F.collect_set("p").alias("reps")))
         moved = heads.select(F.explode("reps").alias("v"), F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
         own = heads.select("v", F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
-        links = durable(own.unionByName(moved).distinct())
+        # A parent that got a smaller representative in another cell hands it on, so chains shrink by half.
+        above = heads.select(F.col("v").alias("p"), F.col("m").alias("up"))
+        links = durable(own.unionByName(moved).distinct().join(above, "p", "left").select("v", F.coalesce("up", "p").alias("p")).filter("v <> p").distinct())
         loose = links.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 1).limit(1).count()
         if not loose and not links.join(links.select(F.col("v").alias("p")).distinct(), "p", "left_semi").limit(1).count():
             result = links
