@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Markers of page furniture in a sentence.
 BOILERPLATE = ("cookie", "privacy policy", "terms and conditions", "accessibility", "newsletter", "all rights reserved")
@@ -70,7 +71,7 @@ def language_code(c: Column) -> Column:
     return F.regexp_extract(F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-")), "^[a-z]{2}(?=-|$)", 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, & as and, case folded, words joined by single spaces."""
     word = regex.compile(r"\w+")
