@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brackwater.plans import general, linking, serving
+from brackwater.plans import details, general, linking, serving
 
-QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES}
-ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES}
+QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES, **details.QUERIES}
+ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES, **details.ORACLES}
 FLAGSHIP = "ag01_totals"
