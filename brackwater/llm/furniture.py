@@ -177,36 +177,49 @@ def repeated_lines(records: DataFrame) -> DataFrame:
 
 
 def site_records(spark, sf_dir: str) -> DataFrame:
-    """All texts of the three tables with their site."""
+    """All texts of the three tables with their site, as letters and as delivered."""
     candidates = table(spark, sf_dir, "candidates").select(
         F.lit("candidates").alias("tbl"), F.lower(F.try_parse_url("canonical_url", F.lit("HOST"))).alias("site"),
         F.col("candidate_id").alias("rec_id"), letters_of(F.col("description")).alias("letters"),
+        F.col("description").alias("text"),
     )
     us = table(spark, sf_dir, "us_recall").select(
         F.lit("us_recall").alias("tbl"), F.lit("").alias("site"), F.col("field_recall_number").alias("rec_id"),
         letters_of(F.col("field_press_release"), markup=True).alias("letters"),
+        F.col("field_press_release").alias("text"),
     )
     documents = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("tbl"), F.col("source").alias("site"), F.col("doc_id").cast("string").alias("rec_id"),
-        letters_of(F.col("text")).alias("letters"),
+        letters_of(F.col("text")).alias("letters"), "text",
     )
     return candidates.unionByName(us).unionByName(documents)
 
 
-def without_lines(texts: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row of ``texts`` given back without its repeated lines (rows without any stay as they are)."""
-    numbers = repeated.groupBy(F.col("rec_id").alias("_rec")).agg(F.collect_set("line_no").alias("_drop"))
-    joined = texts.join(numbers, F.col(id_col).cast("string") == F.col("_rec"), "left")
+def without_lines(texts: DataFrame, repeated: DataFrame, id_col: str, text_col: str, tbl_col: str | None = None) -> DataFrame:
+    """Every row of ``texts`` given back without its repeated lines (rows without any stay as they are).
+
+    ``tbl_col`` is needed where ``texts`` holds several tables, since one id may stand in two of them.
+    """
+    keys = {"_rec": ("rec_id", F.col(id_col).cast("string"))} | ({"_tbl": ("tbl", F.col(tbl_col))} if tbl_col else {})
+    numbers = repeated.groupBy(*(F.col(c).alias(k) for k, (c, _) in keys.items())).agg(F.collect_set("line_no").alias("_drop"))
+    joined = texts.join(numbers, [own == F.col(k) for k, (_, own) in keys.items()], "left")
     kept = F.array_join(
         F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_drop", (i + 1).cast("int"))), "\n"
     )
-    return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).drop("_rec", "_drop")
+    return joined.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).drop(*keys, "_drop")
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
     return repeated_lines(site_records(spark, sf_dir)).select("tbl", "rec_id", "line_no")
 
 
+def p2_cleaned(spark, sf_dir: str) -> DataFrame:
+    """Every record of the three tables once, (tbl, rec_id, text), without its repeated lines."""
+    records = site_records(spark, sf_dir)
+    texts = records.select("tbl", "rec_id", "text").dropDuplicates(["tbl", "rec_id"])
+    return without_lines(texts, repeated_lines(records), "rec_id", "text", "tbl")
+
+
 def p2_cleaned_documents(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     records = documents.select(
@@ -228,3 +241,13 @@ f AS (SELECT tbl, site, key, count(DISTINCT rec_id) AS records FROM l WHERE leng
 SELECT l.tbl, l.rec_id, l.line_no::int AS line_no FROM l JOIN f ON f.tbl = l.tbl AND f.site = l.site AND f.key = l.key JOIN n ON n.tbl = l.tbl AND n.site = l.site
 WHERE f.records >= 3 AND f.records >= 0.05 * n.total
 """
+
+P2_CLEANED_SQL = f"""
+WITH found AS ({P2_SQL}), n AS (SELECT tbl, rec_id, list(line_no) AS gone FROM found GROUP BY ALL),
+t AS (SELECT DISTINCT 'candidates' AS tbl, candidate_id AS rec_id, description AS text FROM candidates
+  UNION SELECT 'us_recall', field_recall_number, field_press_release FROM us_recall
+  UNION SELECT 'documents', doc_id::varchar, text FROM documents)
+SELECT t.tbl, t.rec_id, CASE WHEN gone IS NULL THEN text
+  ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, k: NOT list_contains(gone, k::int)), chr(10)), '') END AS text
+FROM t LEFT JOIN n ON n.tbl = t.tbl AND n.rec_id = t.rec_id
+"""

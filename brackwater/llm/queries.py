@@ -7,6 +7,7 @@ from brackwater.llm import consolidate, encoding, furniture, history, language,
 QUERIES = {
     "p1_found": survivor.p1_found,
     "p2_found": furniture.p2_found,
+    "p2_cleaned": furniture.p2_cleaned,
     "p2_cleaned_documents": furniture.p2_cleaned_documents,
     "p4_found": history.p4_found,
     "p5_found": consolidate.p5_found,
@@ -17,4 +18,4 @@ QUERIES = {
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
-ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
+ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p2_cleaned": furniture.P2_CLEANED_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from brackwater.llm.furniture import band_buckets, letters_of, repeated_lines, without_lines
+from brackwater.llm.furniture import band_buckets, letters_of, p2_cleaned, repeated_lines, without_lines
 
 
 def _records(spark, rows, markup=False):
@@ -64,3 +64,19 @@ def test_near_lines_share_buckets():
 
 def test_empty(spark):
     assert repeated_lines(_records(spark, [])).count() == 0
+
+
+def test_cleaned_gives_back_all_three_tables(spark, tmp_path):
+    line = "Never miss a warning again"
+    own = ["own text about apples", "own text about biscuits", "own text about cheese"]
+    # The same ids stand in all tables, each with its repeated line in another place; one row is delivered twice.
+    tables = {
+        "candidates": ([("https://a.test/x", str(i), f"{line}\n{x}") for i, x in enumerate(own)] + [("https://a.test/x", "0", f"{line}\n{own[0]}")], "canonical_url string, candidate_id string, description string"),
+        "us_recall": ([(str(i), f"{x}\n<b>{line}</b>") for i, x in enumerate(own)] + [("empty", None)], "field_recall_number string, field_press_release string"),
+        "documents": ([(i, "s", f"{x}\n\n{line}") for i, x in enumerate(own)], "doc_id bigint, source string, text string"),
+    }
+    for name, (rows, shape) in tables.items():
+        spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted((r.tbl, r.rec_id, r.text) for r in p2_cleaned(spark, str(tmp_path)).collect() if r.rec_id != "empty")
+    assert got == sorted((t, str(i), x + ("\n" if t == "documents" else "")) for t in tables for i, x in enumerate(own))
+    assert p2_cleaned(spark, str(tmp_path)).filter("rec_id = 'empty' AND text IS NULL").count() == 1
