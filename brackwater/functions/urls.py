@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query keys dropped by the lenient form.
 LENIENT_KEYS = (
@@ -59,3 +64,28 @@ def domains(u: Column) -> Column:
     """The host with and without www."""
     bare = F.regexp_replace(host(u), r"^www\.", "")
     return F.array(bare, F.concat(F.lit("www."), bare))
+
+
+def canonical_text(u: str | None) -> str:
+    """The form in which addresses are compared.
+
+    Lower scheme and host, no default port, single slashes, no closing slash, decoded and sorted query without
+    tracking keys, no fragment.  Text without scheme or host, or with an impossible port, stays as it is.
+    """
+    u = (u or "").strip()
+    try:
+        parts = urlsplit(u)
+        scheme, name, port = parts.scheme.lower(), (parts.hostname or "").lower(), parts.port
+    except ValueError:
+        return u
+    if not scheme or not name:
+        return u
+    site = f"{name}:{port}" if port and (scheme, port) not in (("http", 80), ("https", 443)) else name
+    where = re.sub("/{2,}", "/", parts.path or "/")
+    kept = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in LENIENT_KEYS)
+    return urlunsplit((scheme, site, where if where == "/" else where.rstrip("/"), urlencode(kept), ""))
+
+
+@F.pandas_udf(StringType())
+def canonical(u: pd.Series) -> pd.Series:
+    return u.map(canonical_text)

@@ -24,6 +24,18 @@ def smallest_partner(keys: DataFrame) -> DataFrame:
     )
 
 
+def link_classes(keys: DataFrame) -> DataFrame:
+    """(id, key, class_id, links) for rows (id, key): every class of ids that share a key, a row for each member.
+
+    ``class_id`` is the smallest id of the class and ``links`` the number of its
+    other members.  Two ids are linked if and only if they stand in a class of
+    one key, so no link is lost although no pairs are made.
+    """
+    held = keys.filter(F.col("key").isNotNull() & (F.col("key") != "")).distinct()
+    classes = held.groupBy("key").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("links")).filter("links > 0")
+    return held.join(classes, "key").select("id", "key", "class_id", "links")
+
+
 def contains_tokens(shorter: DataFrame, longer: DataFrame) -> DataFrame:
     """(a, b): all tokens of ``shorter`` (a, tokens) are among those of ``longer`` (b, tokens).
 

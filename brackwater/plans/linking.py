@@ -125,6 +125,37 @@ _smallest("jn02_same_url", lambda e: F.lower(F.trim(e["url"])), "lower(trim(e.ur
 _smallest("jn03_same_content_hash", lambda e: e["content_hash"], "e.content_hash")
 _smallest("jn04_same_title", lambda e: F.lower(F.trim(e["title"])), "lower(trim(e.title))")
 
+
+
+def incident_urls(s, d):
+    """(id, key): primary, evidence and alias addresses of the incidents in the form in which they are compared."""
+    none = F.array().cast("array<string>")
+    each = F.flatten(F.transform(F.coalesce("evidence", F.array().cast(t.incidents(s, d).schema["evidence"].dataType)), lambda e: F.concat(F.array(e["url"]), F.coalesce(e["redirected_url_aliases"], none))))
+    held = t.incidents(s, d).select(F.col("incident_id").alias("id"), F.explode(F.concat(F.array("primary_source_url"), F.coalesce(F.array_compact(each), none))).alias("u")).distinct()
+    return held.select("id", urls.canonical(F.col("u")).alias("key"))
+
+
+def _evidence(s, d):
+    return t.incidents(s, d).select(F.col("incident_id").alias("id"), F.explode("evidence").alias("e"))
+
+
+@query("jn02_url_classes")
+def _(s, d):
+    return linkage.link_classes(incident_urls(s, d))
+
+
+@query("jn03_hash_classes", f"WITH {I}, k AS (SELECT DISTINCT incident_id AS id, lower(trim(e.content_hash, e' \\t\\n\\r\\v\\f')) AS key FROM (SELECT incident_id, unnest(evidence) AS e FROM i)) SELECT id, key, min(id) OVER w AS class_id, count(*) OVER w - 1 AS links FROM k WHERE key <> '' WINDOW w AS (PARTITION BY key) QUALIFY links > 0")
+def _(s, d):
+    trimmed = F.regexp_replace(F.col("e.content_hash"), r"^\s+|\s+$", "")
+    return linkage.link_classes(_evidence(s, d).select("id", F.lower(trimmed).alias("key")))
+
+
+@query("jn04_title_classes")
+def _(s, d):
+    named = _evidence(s, d).select("id", text.folded(F.col("e.title")).alias("title"))
+    return linkage.link_classes(named.select("id", F.when(F.col("title") != "", F.sha2("title", 256)).alias("key")))
+
+
 _TOKENS = r"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: x <> '')))"
 
 
