@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.runtime import durable
+
 
 def smallest_partner(keys: DataFrame) -> DataFrame:
     """(id, other_id) for rows (id, key): the smallest other id that shares a key."""
@@ -54,6 +56,64 @@ def contains_tokens(shorter: DataFrame, longer: DataFrame) -> DataFrame:
     return rare.join(tokens, "token").filter(F.size(F.array_except("at", "bt")) == 0).select("a", "b").distinct()
 
 
+def name_pairs(names: DataFrame, least: int = 2) -> DataFrame:
+    """(left, right) of folded names that count as the same: equal, or the shorter's words all among the longer's.
+
+    Both directions are given.  A contained name needs ``least`` different words; blank names match nothing.
+    """
+    held = names.toDF("name").filter("name <> ''").distinct()
+    tokens = held.select("name", F.array_distinct(F.split("name", " ")).alias("tokens"))
+    short = tokens.filter(F.size("tokens") >= least).withColumnRenamed("name", "a")
+    inside = contains_tokens(short, tokens.withColumnRenamed("name", "b"))
+    return (
+        inside.select(F.col("a").alias("left"), F.col("b").alias("right"))
+        .unionByName(inside.select(F.col("b").alias("left"), F.col("a").alias("right")))
+        .unionByName(held.select(F.col("name").alias("left"), F.col("name").alias("right")))
+        .distinct()
+    )
+
+
+def entity_date_pairs(x: DataFrame, days: int = 7) -> DataFrame:
+    """(id, other_id, overlap) of all rows (id, product, company, hazard, day) that stand for one matter.
+
+    The names are folded.  Two of product, company and hazard must match, not
+    hazard alone; a company's single word is enough beside a matching product.
+    The days lie within ``days``; where one is missing, product and company must
+    both match.  Pairs of names are made once, from the distinct names, and every
+    leg then joins on equality of two names and a block of days, so no pair is lost.
+    """
+    cut = lambda c, least=2: durable(name_pairs(x.select(c), least))
+    product, near, company, hazard = cut("product"), cut("company", 1), cut("company"), cut("hazard")
+    right = x.select(F.col("id").alias("other_id"), *(F.col(c).alias(f"r_{c}") for c in ("product", "company", "hazard", "day")))
+    block = lambda c: F.floor(F.unix_date(c) / (days + 1))
+
+    def widened(left: DataFrame, *by: tuple[str, DataFrame]) -> DataFrame:
+        for c, pairs in by:
+            left = left.join(pairs.select(F.col("left").alias(c), F.col("right").alias(f"r_{c}")), c)
+        return left
+
+    def dated(*by: tuple[str, DataFrame]) -> DataFrame:
+        at = block(F.col("day"))
+        left = widened(x.filter("day IS NOT NULL"), *by).withColumn("block", F.explode(F.array(at - 1, at, at + 1)))
+        names = [c for c, _ in by]
+        there = right.filter("r_day IS NOT NULL").select("other_id", "r_day", *(f"r_{c}" for c in names), block(F.col("r_day")).alias("block"))
+        met = left.join(there, [*(f"r_{c}" for c in names), "block"]).filter(within_days(F.col("day"), F.col("r_day"), days))
+        return met.select("id", "other_id", F.array(*map(F.lit, names)).alias("names"))
+
+    both = widened(x, ("product", product), ("company", near)).withColumnRenamed("hazard", "l_hazard")
+    undated = both.join(right, ["r_product", "r_company"]).filter("day IS NULL OR r_day IS NULL")
+    same = hazard.select(F.col("left").alias("l_hazard"), F.col("right").alias("r_hazard"), F.lit("hazard").alias("also"))
+    named = F.array_compact(F.array(F.lit("product"), F.lit("company"), F.col("also")))
+    undated = undated.join(same, ["l_hazard", "r_hazard"], "left").select("id", "other_id", named.alias("names"))
+    legs = (
+        dated(("product", product), ("company", near)).unionByName(dated(("product", product), ("hazard", hazard)))
+        .unionByName(dated(("company", company), ("hazard", hazard))).unionByName(undated)
+    )
+    found = legs.filter("id <> other_id").groupBy("id", "other_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("n"))
+    ordered = F.filter(F.array(*map(F.lit, ("product", "company", "hazard"))), lambda c: F.array_contains("n", c))
+    return found.select("id", "other_id", F.array_join(ordered, ",").alias("overlap"))
+
+
 def within_days(left: Column, right: Column, days: int = 7) -> Column:
     return F.abs(F.datediff(left, right)) <= days
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from brackwater.functions import ids, text, urls
-from brackwater.operators import linkage, searches, semantic
+from brackwater.operators import instants, linkage, searches, semantic
 from brackwater.plans.serving import A, C, I
-from brackwater.runtime import table
+from brackwater.runtime import durable, table
 from brackwater.sources import tables as t
 
 QUERIES, ORACLES = {}, {}
@@ -174,6 +174,45 @@ def _(s, d):
     return both.groupBy("id").agg(F.min("other").alias("other_id"))
 
 
+#: A zone after a clock; the civil day of a written time is that of its own zone.
+_ZONE = r"(?<=\d|[AaPp]\.?[Mm]\.?)\s*(?:Z|(?![AP]M)[A-Z]{2,4}|[+-]\d{2}:?\d{2}|[+-]\d{2})$"
+
+
+def incident_entities(s, d):
+    """(id, product, company, hazard, day): folded names and the civil day of publication, null if none is written."""
+    w = F.trim("publication_date")
+    bare = F.when(w.rlike(r"\d[:h]\d{2}|\dT\d{4}"), F.regexp_replace(w, _ZONE, "")).otherwise(w)
+    x = t.incidents(s, d).select(
+        F.col("incident_id").alias("id"), *(text.folded(F.col(c)).alias(n) for c, n in (("product_name", "product"), ("company_name", "company"), ("hazard_type", "hazard"))),
+        F.coalesce("hazard_type", F.lit("")).alias("hazard_raw"), bare.alias("w"),
+    )
+    read = instants.with_epoch_seconds(x, "w", "sec", "UTC").withColumn("day", F.date_from_unix_date(F.floor(F.col("sec") / 86400).cast("int")))
+    return durable(read.drop("w", "sec"))
+
+
+@query("jn05_entity_links")
+def _(s, d):
+    pairs = linkage.entity_date_pairs(incident_entities(s, d).drop("hazard_raw"))
+    first = F.min(F.struct("other_id", "overlap"))
+    return pairs.groupBy("id").agg(first.alias("m"), F.count("*").alias("links")).select("id", "m.other_id", "m.overlap", "links")
+
+
+@query("jn08_official_link")
+def _(s, d):
+    a = t.alerts(s, d).select("alert_id", urls.canonical(F.col("source_url")).alias("key"), text.folded(F.col("product_name")).alias("product"), text.folded(F.col("hazard_type")).alias("a_hazard"), F.coalesce("hazard_type", F.lit("")).alias("a_raw"), "recall_date")
+    a = durable(a)
+    held = incident_urls(s, d).filter("key <> ''").join(a.select("alert_id", "key"), "key")
+    by_url = held.select(F.col("id").alias("incident_id"), "alert_id", F.lit(0).alias("rank"), F.lit("").alias("overlap"))
+    at = F.floor(F.unix_date("day") / 8)
+    i = incident_entities(s, d).filter("day IS NOT NULL").withColumn("block", F.explode(F.array(at - 1, at, at + 1)))
+    met = i.join(a.filter("recall_date IS NOT NULL").withColumn("block", F.floor(F.unix_date("recall_date") / 8)), ["product", "block"])
+    stated = (F.col("hazard_raw") != "") & (F.col("a_raw") != "")
+    met = met.filter(linkage.within_days(F.col("day"), F.col("recall_date")) & (~stated | (F.col("hazard") == F.col("a_hazard"))))
+    by_name = met.select(F.col("id").alias("incident_id"), "alert_id", F.lit(1).alias("rank"), F.concat(F.lit("product,date"), F.when(stated, ",hazard").otherwise("")).alias("overlap"))
+    best = by_url.unionByName(by_name).groupBy("incident_id").agg(F.min(F.struct("rank", "alert_id", "overlap")).alias("m"))
+    return best.select("incident_id", "m.alert_id", F.when(F.col("m.rank") == 0, "exact_url").otherwise("entity_date").alias("kind"), "m.overlap")
+
+
 @query("jn08_official_match", f"WITH {A}, {I} SELECT i.incident_id, min(a.alert_id) AS alert_id FROM i JOIN a ON lower(trim(i.product_name)) = lower(trim(a.product_name)) AND trim(i.product_name) <> '' AND abs(date_diff('day', CAST(i.first_discovered_at AS date), a.recall_date)) <= 365 GROUP BY 1")
 def _(s, d):
     i = t.incidents(s, d).select("incident_id", F.lower(F.trim("product_name")).alias("k"), F.to_date("first_discovered_at").alias("day")).filter("k <> ''")
