@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brackwater.functions import dates, scoring, text, urls
@@ -10,6 +11,11 @@ from brackwater.runtime import table
 from brackwater.sources import tables as t
 
 QUERIES, ORACLES = {}, {}
+#: Label and column of each line of an incident's embedding document.
+INCIDENT_LINES = (
+    ("Product", "product_name"), ("Company", "company_name"), ("Hazard", "hazard_type"),
+    ("Country", "country"), ("Reason", "incident_reason"), ("Summary", "summary"),
+)
 
 
 def query(name: str, sql: str | None = None):
@@ -145,3 +151,15 @@ def _(s, d):
 def _(s, d):
     after = F.when(F.col("processing_status") != "retryable", F.col("processing_status")).when(F.col("attempt_count") + 1 >= 3, "fetch_failed").otherwise("retryable")
     return t.candidates(s, d).select("candidate_id", after.alias("next_status"))
+
+
+@query("tx16_full_document", f"WITH {I} SELECT incident_id, concat_ws(chr(10), {', '.join(f"CASE WHEN trim({c}, e' \\t\\n\\r') <> '' THEN '{n}: ' || {c} END" for n, c in INCIDENT_LINES)}) AS document FROM i")
+def _(s, d):
+    line = lambda n, c: F.when(F.regexp_replace(c, r"\s+", "") != "", F.concat(F.lit(f"{n}: "), F.col(c)))
+    return t.incidents(s, d).select("incident_id", F.concat_ws("\n", *(line(n, c) for n, c in INCIDENT_LINES)).alias("document"))
+
+
+@query("sc10_run_log_all", "SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS newest FROM events")
+def _(s, d):
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return t.events(s, d).select("user_id", "event_id", "event_type", newest.alias("newest"))
