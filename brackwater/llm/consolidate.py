@@ -1,16 +1,18 @@
 """Consolidating pairwise matches into groups: union-find on a two-dimensional grid.
 
 Vertices are hashed into B blocks and every edge belongs to the cell (block of
-one end, block of the other end).  In each round every cell runs a local
-union-find and leaves a star: each vertex points to the smallest vertex that it
-reaches inside the cell.  Then the representatives that a vertex got in the
-cells of its row and column are exchanged: the smallest becomes its parent, the
-others are linked to it, and parents hand on what they got.  The rounds end when no vertex has two
+one end, block of the other end); a cell with more edges than the bound is split
+by a hash of the edge, so a hub's edges spread over as many parts as they need.
+In each round every part runs a local union-find and leaves a star: each vertex
+points to the smallest vertex that it reaches inside the part.  Then the
+representatives that a vertex got in the parts of its row and column are
+exchanged: the smallest becomes its parent, the others are linked to it, and
+parents hand on what they got.  The rounds end when no vertex has two
 representatives and no parent has a parent.
 
-A vertex meets at most 2B - 1 cells, so no group of a hub's edges comes into one
-task, and long chains collapse inside the cells.  Every round is cut in the
-shared checkpoint folder, so a lost executor costs at most one round.
+Parents with more children than a part may hold edges are few (at most edges /
+bound); they are broadcast, all others are joined by key.  Every round is a
+written table in the shared folder; the tables of the round before are deleted.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.runtime import durable, table
+from brackwater.runtime import release, stored, table
 
-#: Edges that one cell of the grid should hold; the number of blocks follows from it.
+#: Edges that one part of the grid may hold (twice as many where a hash spreads unevenly).
 EDGES_PER_CELL = 400_000
+#: The grid has at least this many blocks a side, however few edges there are.
+LEAST_BLOCKS = 4
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +56,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["v", "p"])
 
 
+def grid_parts(links: DataFrame, edges_per_cell: int) -> DataFrame:
+    """The links (v, p) hashed into the parts of the grid, each part in one task."""
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(links.count() / edges_per_cell)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    celled = links.select("v", "p", (block("v") * blocks + block("p")).alias("cell"))
+    # One row for each cell: blocks * blocks rows, that is edges / edges_per_cell or 16.
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / edges_per_cell).cast("int").alias("splits"))
+    split = F.pmod(F.xxhash64("v", "p", F.lit(7)), F.col("splits")).cast("int")
+    starts, total = [], 0
+    for row in sorted(sizes.collect(), key=lambda r: r.cell):
+        starts.append((row.cell, total, row.splits))
+        total += row.splits
+    begin = links.sparkSession.createDataFrame(starts, "cell int, start int, splits int")
+    placed = celled.join(F.broadcast(begin), "cell").select("v", "p", (F.col("start") + split).alias("part"))
+    return placed.repartitionById(max(1, total), "part").select("v", "p")
+
+
 def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """(v, group_id) of every vertex of the edges (a, b); group_id is the smallest vertex of its component.
 
@@ -59,32 +80,33 @@ def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
     edges and both directions count once; other columns are ignored; an empty
     table gives an empty result.
     """
-    spark = edges.sparkSession
-    links = durable(
+    links = stored(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("p"))
         .filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .distinct()
+        .distinct(),
+        "links",
     )
     while True:
-        count = links.count()
-        blocks = max(1, math.ceil(math.sqrt(count / edges_per_cell)))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        cells = links.repartition(blocks * blocks, block("v"), block("p")).select("v", "p")
-        stars = cells.mapInArrow(_stars, "v string, p string")
-        if blocks == 1:
-            result = durable(stars)
-            break
-        heads = durable(stars.groupBy("v").agg(F.min("p").alias("m"), F.collect_set("p").alias("reps")))
+        stars = grid_parts(links, edges_per_cell).mapInArrow(_stars, "v string, p string")
+        # A vertex has at most one representative for each part it occurs in.
+        heads = stored(stars.groupBy("v").agg(F.min("p").alias("m"), F.collect_set("p").alias("reps")), "heads")
         moved = heads.select(F.explode("reps").alias("v"), F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
         own = heads.select("v", F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
-        # A parent that got a smaller representative in another cell hands it on, so chains shrink by half.
+        drawn = own.unionByName(moved).distinct()
+        # A parent that got a smaller representative in another part hands it on, so chains shrink by half.
         above = heads.select(F.col("v").alias("p"), F.col("m").alias("up"))
-        links = durable(own.unionByName(moved).distinct().join(above, "p", "left").select("v", F.coalesce("up", "p").alias("p")).filter("v <> p").distinct())
+        hot = drawn.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > edges_per_cell).select("p")
+        # A parent that is smallest in all its parts has no row in heads and keeps its children.
+        hot_above = hot.join(above, "p", "left")
+        cold = drawn.join(F.broadcast(hot), "p", "left_anti").join(above, "p", "left")
+        lifted = cold.unionByName(drawn.join(F.broadcast(hot_above), "p").select("p", "v", "up"))
+        before, links = links, stored(lifted.select("v", F.coalesce("up", "p").alias("p")).filter("v <> p").distinct(), "links")
+        release(before, heads)
         loose = links.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 1).limit(1).count()
-        if not loose and not links.join(links.select(F.col("v").alias("p")).distinct(), "p", "left_semi").limit(1).count():
-            result = links
+        parents = links.select("p").distinct().join(links.select(F.col("v").alias("p")), "p", "left_semi")
+        if not loose and not parents.limit(1).count():
             break
-    found = result.select("v", F.col("p").alias("group_id"))
+    found = links.select("v", F.col("p").alias("group_id"))
     return found.unionByName(found.select(F.col("group_id").alias("v"), "group_id").distinct())
 
 
@@ -112,8 +134,9 @@ def linked_record_groups(match_results: DataFrame, incidents: DataFrame, alerts:
     links = incident_links(match_results, incidents)
     records = incidents.select(F.col("incident_id").alias("id")).unionByName(alerts.select(F.col("alert_id").alias("id")))
     ends = links.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    named = durable(
-        records.select("id", _tidy(F.col("id")).alias("k")).join(ends, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id"))
+    named = stored(
+        records.select("id", _tidy(F.col("id")).alias("k")).join(ends, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")),
+        "named",
     )
     left = named.select(F.col("k").alias("a"), F.col("id").alias("a_id"))
     right = named.select(F.col("k").alias("b"), F.col("id").alias("b_id"))

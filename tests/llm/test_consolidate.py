@@ -1,6 +1,8 @@
 import random
 
-from brackwater.llm.consolidate import connected_groups, linked_record_groups
+from pyspark.sql import functions as F
+
+from brackwater.llm.consolidate import connected_groups, grid_parts, linked_record_groups
 
 
 def _brute(pairs):
@@ -48,3 +50,16 @@ def test_records_untidy_and_unknown_ids(spark):
     matches = spark.createDataFrame([(" I2", "I1\n", None), ("i3", "a2", True), ("i3", "nope", False)], "incident_id string, matched_id string, requires_review boolean")
     got = {tuple(r) for r in linked_record_groups(matches, incidents, alerts).collect()}
     assert got == {("i1", "a1"), ("i2", "a1"), ("a1", "a1")}
+
+
+def test_parts_stay_under_their_bound_with_a_hub(spark):
+    links = spark.createDataFrame([(f"v{i}", "hub") for i in range(3000)] + [(f"w{i}", f"w{i // 2}") for i in range(1, 500)], "v string, p string")
+    sizes = [r["count"] for r in grid_parts(links, 100).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3499 and max(sizes) <= 200 and len(sizes) > 35
+    small = grid_parts(links.limit(50), 400_000)
+    assert small.rdd.getNumPartitions() > 1
+
+
+def test_hub_with_hot_parent(spark):
+    pairs = [("a0", f"leaf{i:04d}") for i in range(400)] + [(f"leaf{i:04d}", f"tail{i:04d}") for i in range(0, 400, 3)] + [("A", "a0")]
+    _check(spark, pairs, 25)
