@@ -9,9 +9,9 @@
    it and accepted only if garbling the result gives the line again.  In a line
    that is not garbled as a whole the verified tokens are substituted one by one.
 
-Lines whose tokens are all missing in the table (a name that occurs nowhere
-else) take the chain of their document, or else the first chain that turns the
-line back and round-trips.
+Only a match restores: a line whose tokens are all missing in the table (a name
+that occurs nowhere else) takes the chain that the matches of its document
+name, and a document without any match is left as it is.
 """
 
 from __future__ import annotations
@@ -182,14 +182,21 @@ def suspicious_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(keep, "form string")
 
 
+@functools.lru_cache(maxsize=300_000)
+def _chains_of(token: str, original: str, chain: int) -> tuple[int, ...]:
+    """All chains that turn ``original`` into ``token``; the table names only the first of each length."""
+    alike = (n for n, c in enumerate(CHAINS) if len(c) == len(CHAINS[chain]) and garble(original, c) == token)
+    return tuple(dict.fromkeys((chain, *alike)))
+
+
 def _restore_line(line: str, known: dict[str, list[tuple[str, int]]], usual: list[int]) -> str:
     tokens = tokens_of(line)
     if not any(map(suspicious_token, tokens)):
         return line
-    votes = Counter(n for t in tokens for _, n in known.get(t, ()))
-    order = [n for n, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))] + usual + list(range(len(CHAINS)))
+    votes = Counter(m for t in tokens for original, n in known.get(t, ()) for m in _chains_of(t, original, n))
+    order = [n for n, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0]))] + usual
     for n in dict.fromkeys(order):
-        before = _turned_back(line, CHAINS[n], n in votes or n in usual)
+        before = _turned_back(line, CHAINS[n], True)
         if before is not None:
             deeper = _turned_back(before, CHAINS[n], False) if n not in votes and len(CHAINS[n]) == 1 else None
             return before if deeper is None else deeper
@@ -202,7 +209,8 @@ def restore(text: str, known: dict[str, list[tuple[str, int]]]) -> str | None:
     """The original of a garbled text, "" if characters were lost, None if nothing is garbled."""
     if LOST in text:
         return ""
-    usual = [n for n, _ in Counter(n for forms in known.values() for _, n in forms).most_common()]
+    found = Counter(m for form, pairs in known.items() for original, n in pairs for m in _chains_of(form, original, n))
+    usual = [n for n, _ in sorted(found.items(), key=lambda v: (-v[1], v[0]))]
     restored = "\n".join(x if x.isascii() or not SUSPICIOUS.search(x) else _restore_line(x, known, usual) for x in text.split("\n"))
     return None if restored == text else restored
 

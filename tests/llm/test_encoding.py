@@ -1,6 +1,6 @@
 import hashlib
 
-from brackwater.llm.encoding import CHAINS, garble, restore_documents, ungarble
+from brackwater.llm.encoding import CHAINS, garble, restore, restore_documents, ungarble
 
 CLEAN = "Der Käse wird zurückgerufen, “sofort” — żółć déjà à l’été.\nNÃO há informação às lojas"
 
@@ -33,3 +33,17 @@ def test_whole_texts_lines_and_losses(spark):
 
 def test_empty(spark):
     assert _found(spark, []) == {}
+
+
+def test_only_matches_restore():
+    line = garble("il est déjà là", ("cp1252",))
+    assert restore(line, {}) is None and restore("caf�", {}) == ""
+    assert restore(line, {garble("déjà", ("cp1252",)): [("déjà", 0)]}) == "il est déjà là"
+    # A clean word whose letters happen to be bytes of another encoding stays.
+    assert restore("jusqu’à\nfin", {}) is None
+
+
+def test_equal_forms_name_all_their_chains():
+    # The word looks alike under two chains, the line does so under one only.
+    line = garble("été “ici”", ("latin-1",))
+    assert restore(line, {garble("été", ("cp1252",)): [("été", 0)]}) == "été “ici”"
