@@ -18,4 +18,4 @@ QUERIES = {
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
-ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p2_cleaned": furniture.P2_CLEANED_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
+ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p2_cleaned": furniture.P2_CLEANED_SQL, "p4_found": history.P4_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
