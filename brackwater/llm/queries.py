@@ -6,6 +6,8 @@ from brackwater.llm import consolidate, encoding, furniture, history, language,
 
 QUERIES = {
     "p1_found": survivor.p1_found,
+    "p1_records": survivor.p1_records,
+    "p1_untimed": survivor.p1_untimed,
     "p2_found": furniture.p2_found,
     "p2_cleaned": furniture.p2_cleaned,
     "p2_cleaned_documents": furniture.p2_cleaned_documents,
@@ -18,4 +20,7 @@ QUERIES = {
     "p9_found": leaks.p9_found,
     "p10_found": encoding.p10_found,
 }
-ORACLES = {"p1_found": survivor.P1_SQL, "p2_found": furniture.P2_SQL, "p2_cleaned": furniture.P2_CLEANED_SQL, "p4_found": history.P4_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL}
+ORACLES = {
+    "p1_found": survivor.P1_SQL, "p1_records": survivor.P1_RECORDS_SQL, "p2_found": furniture.P2_SQL, "p2_cleaned": furniture.P2_CLEANED_SQL,
+    "p4_found": history.P4_SQL, "p5_found": consolidate.P5_SQL, "p9_found": leaks.P9_SQL,
+}
