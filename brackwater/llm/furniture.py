@@ -4,12 +4,18 @@ Numbers, dates in digits, punctuation and the site's own name are masked.  Each
 line then gets minhash bands over runs of eight letters; within a site, lines
 that share a band bucket form a near-duplicate cluster.  Buckets in which enough
 records of the site take part are frequent; their lines are the candidates.
-Two lines with the same letters have the same bands, so every repeated line is a
-candidate, and an exact count of its letters confirms it.
+
+Two rules decide on a candidate.  ``repeated_lines`` confirms by an exact count of
+its letters (two lines with the same letters have the same bands, so every
+repeated line is a candidate).  ``near_repeated_lines`` lets the clusters decide:
+personal and place names are masked as well, and a line goes if at least two of
+its bands lie in frequent buckets; a byline with changing names is one cluster.
 
 Cost: one pass over the texts gives a few fixed-size numbers for each line;
-everything after it works on those.  All counts are partial aggregates, so a
-site that holds a third of all records is no hot spot.
+everything after it works on those.  All counts are partial aggregates.  A site
+has few frequent buckets (each takes a twentieth of its records), so they are
+brought to its records as one array; where that table is not small enough to be
+broadcast, a site's records are salted.
 """
 
 from __future__ import annotations
@@ -22,15 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.runtime import durable, table
+from brackwater.runtime import stored, table
 
 LEAST_LETTERS = 10
 LEAST_RECORDS = 3
 LEAST_SHARE = 0.05
 RUN = 8
 BANDS, ROWS = 4, 3
-#: The frequent buckets and lines are broadcast only up to this many rows.
-BROADCAST_ROWS = 300_000
+#: Bands of a line that must lie in frequent buckets for the clusters to decide.
+NEAR_BANDS = 2
+#: The frequent buckets or lines of all sites are broadcast up to this many numbers (8 bytes each); beyond it sites are salted.
+BROADCAST_NUMBERS = 2_000_000
+SALTS = 16
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +53,15 @@ def letters_of(text: Column, markup: bool = False) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", "")
 
 
+#: A capitalised word that does not begin a line or sentence.
+NAME = r"(?<=[\p{L}\p{N},;’'\])&-] )\p{Lu}[\p{L}’'-]*\p{Ll}[\p{L}’'-]*"
+
+
+def without_names(text: Column) -> Column:
+    """``text`` without the capitalised words inside its sentences."""
+    return F.regexp_replace(text, NAME, "")
+
+
 def band_buckets(lines: list[str]) -> np.ndarray:
     """Minhash buckets (len(lines) x BANDS, uint64) of lines of at least RUN letters each."""
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -117,80 +135,87 @@ def signatures(records: DataFrame) -> DataFrame:
     return records.select("tbl", "site", "rec_id", "letters").mapInArrow(_signatures, shape).dropDuplicates(["tbl", "rec_id"])
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _at_sites(records: DataFrame, numbers: DataFrame, broadcast_numbers: int) -> DataFrame:
+    """``records`` with the array ``held`` of their site's ``numbers`` (tbl, site, number); sites without any fall away."""
+    where = ["tbl", "site"]
+    sites = stored(numbers.groupBy(*where).agg(F.collect_set("number").alias("held")), "sites")
+    total = sites.agg(F.sum(F.size("held"))).first()[0] or 0
+    if total <= broadcast_numbers:
+        return records.join(F.broadcast(sites), where)
+    salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return records.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int")).join(salted, [*where, "salt"]).drop("salt")
 
 
-def repeated_lines(records: DataFrame) -> DataFrame:
-    """(tbl, site, rec_id, line_no, cluster, cluster_records, records) of every repeated line.
+def _frequent(counted: DataFrame, least: DataFrame) -> DataFrame:
+    """(tbl, site, number) of the numbers that enough records of their site hold; ``counted`` has one row for each record."""
+    where = ["tbl", "site"]
+    return (
+        counted.groupBy(*where, "number").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_RECORDS)
+        .join(least, where).filter(F.col("n") >= F.col("least")).select(*where, "number")
+    )
+
+
+def _candidates(records: DataFrame, bands: int, broadcast_numbers: int) -> tuple[DataFrame, DataFrame]:
+    """Records with the lines (pos, key, bucket) of which at least ``bands`` bands lie in frequent buckets, and each site's threshold."""
+    # A null-safe copy of the site keeps records without one together.
+    signed = stored(signatures(records).withColumn("site", F.coalesce("site", F.lit(""))), "signatures")
+    least = signed.groupBy("tbl", "site").agg(F.greatest(F.lit(LEAST_RECORDS), F.ceil(F.count("*") * LEAST_SHARE - 1e-9)).alias("least"))
+    own = F.array_remove(F.array_distinct(F.flatten(F.array(*(F.col(f"b{i}") for i in range(BANDS))))), 0)
+    frequent = _frequent(signed.select("tbl", "site", F.explode(own).alias("number")), least)
+    met = _at_sites(signed, frequent, broadcast_numbers).withColumn("met", F.array_intersect(own, "held")).filter(F.size("met") > 0)
+    number = F.arrays_zip(F.sequence(F.lit(1), F.size("keys")).alias("pos"), F.col("keys").alias("key"), *(F.col(f"b{i}") for i in range(BANDS)))
+    shared = lambda x: sum((F.array_contains("met", x[f"b{i}"]).cast("int") for i in range(BANDS)), F.lit(0))
+    bucket = lambda x: F.array_min(F.array_intersect(F.array(*(x[f"b{i}"] for i in range(BANDS))), F.col("met")))
+    lines = F.filter(number, lambda x: (x["key"] != 0) & (shared(x) >= bands))
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), bucket(x).alias("bucket")))
+    return met.select("tbl", "site", "rec_id", lines.alias("lines")).filter(F.size("lines") > 0), least
+
+
+def repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """(tbl, site, rec_id, line_no) of every repeated line.
 
     ``records`` has tbl, site, rec_id and letters (see :func:`letters_of`).  A
     line counts from ten letters; it is repeated if at least three records and
     five per cent of all records of its site hold a line with the same letters.
-    ``cluster_records`` counts the records of its near-duplicate cluster.
     Records with null or empty text count in their site's total; a null site is
     a site of its own; redelivered keys count once; an empty table gives an
     empty result.
     """
-    signed = durable(signatures(records))
-    where = ["tbl", "site"]
-    # A null-safe copy of the site keeps records without one together.
-    signed = signed.withColumn("site", F.coalesce("site", F.lit("")))
-    least = (
-        signed.groupBy(*where)
-        .agg(F.count("*").alias("total"))
-        .select(*where, F.greatest(F.lit(LEAST_RECORDS), F.ceil(F.col("total") * LEAST_SHARE - 1e-9)).alias("least"))
-    )
-    held = F.array_remove(F.array_distinct(F.flatten(F.array(*(F.col(f"b{i}") for i in range(BANDS))))), 0)
-    frequent = durable(
-        signed.select(*where, F.explode(held).alias("cluster"))
-        .groupBy(*where, "cluster")
-        .agg(F.count("*").alias("cluster_records"))
-        .filter(F.col("cluster_records") >= LEAST_RECORDS)
-        .join(least, where)
-        .filter(F.col("cluster_records") >= F.col("least"))
-    )
-    zipped = F.posexplode(F.arrays_zip("keys", *(f"b{i}" for i in range(BANDS))))
-    lines = (
-        signed.select(*where, "rec_id", zipped.alias("pos", "x"))
-        .filter(F.col("x.keys") != 0)
-        .select(*where, "rec_id", "pos", F.col("x.keys").alias("key"), F.explode(F.array(*(F.col(f"x.b{i}") for i in range(BANDS)))).alias("cluster"))
-    )
-    candidates = durable(
-        lines.join(_maybe_broadcast(frequent), [*where, "cluster"])
-        .groupBy("tbl", "rec_id", "pos")
-        .agg(
-            F.max(F.struct("cluster_records", "cluster")).alias("c"),
-            F.first("site").alias("site"), F.first("key").alias("key"), F.first("least").alias("least"),
-        )
-    )
-    confirmed = (
-        candidates.select(*where, "key", "rec_id", "least").distinct()
-        .groupBy(*where, "key")
-        .agg(F.count("*").alias("records"), F.first("least").alias("least"))
-        .filter(F.col("records") >= F.col("least"))
-        .select(*where, "key", "records")
-    )
-    return candidates.join(confirmed, [*where, "key"]).select(
-        *where, "rec_id", (F.col("pos") + 1).alias("line_no"), "c.cluster", "c.cluster_records", "records"
-    )
+    found, least = _candidates(records, 1, broadcast_numbers)
+    candidates = stored(found, "candidates")
+    keys = F.array_distinct("lines.key")
+    confirmed = _frequent(candidates.select("tbl", "site", F.explode(keys).alias("number")), least)
+    met = _at_sites(candidates, confirmed, broadcast_numbers).withColumn("met", F.array_intersect(keys, "held"))
+    kept = F.filter("lines", lambda x: F.array_contains("met", x["key"]))
+    return met.select("tbl", "site", "rec_id", F.explode(kept).alias("x")).select("tbl", "site", "rec_id", F.col("x.pos").alias("line_no"))
 
 
-def site_records(spark, sf_dir: str) -> DataFrame:
-    """All texts of the three tables with their site, as letters and as delivered."""
+def near_repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """(tbl, site, rec_id, line_no, cluster) of every line in near-duplicate clusters of high document frequency.
+
+    As :func:`repeated_lines`, but the clusters decide, with the same threshold;
+    ``letters`` should be made from text :func:`without_names`.
+    """
+    found, _ = _candidates(records, NEAR_BANDS, broadcast_numbers)
+    return found.select("tbl", "site", "rec_id", F.explode("lines").alias("x")).select("tbl", "site", "rec_id", F.col("x.pos").alias("line_no"), F.col("x.bucket").alias("cluster"))
+
+
+def site_records(spark, sf_dir: str, names: bool = True) -> DataFrame:
+    """All texts of the three tables with their site, as letters (without ``names`` if asked) and as delivered."""
+    read = letters_of if names else lambda text, markup=False: letters_of(without_names(text), markup)
     candidates = table(spark, sf_dir, "candidates").select(
         F.lit("candidates").alias("tbl"), F.lower(F.try_parse_url("canonical_url", F.lit("HOST"))).alias("site"),
-        F.col("candidate_id").alias("rec_id"), letters_of(F.col("description")).alias("letters"),
+        F.col("candidate_id").alias("rec_id"), read(F.col("description")).alias("letters"),
         F.col("description").alias("text"),
     )
     us = table(spark, sf_dir, "us_recall").select(
         F.lit("us_recall").alias("tbl"), F.lit("").alias("site"), F.col("field_recall_number").alias("rec_id"),
-        letters_of(F.col("field_press_release"), markup=True).alias("letters"),
+        read(F.col("field_press_release"), markup=True).alias("letters"),
         F.col("field_press_release").alias("text"),
     )
     documents = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("tbl"), F.col("source").alias("site"), F.col("doc_id").cast("string").alias("rec_id"),
-        letters_of(F.col("text")).alias("letters"), "text",
+        read(F.col("text")).alias("letters"), "text",
     )
     return candidates.unionByName(us).unionByName(documents)
 
@@ -220,13 +245,9 @@ def p2_cleaned(spark, sf_dir: str) -> DataFrame:
     return without_lines(texts, repeated_lines(records), "rec_id", "text", "tbl")
 
 
-def p2_cleaned_documents(spark, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    records = documents.select(
-        F.lit("documents").alias("tbl"), F.col("source").alias("site"), F.col("doc_id").cast("string").alias("rec_id"),
-        letters_of(F.col("text")).alias("letters"),
-    )
-    return without_lines(documents, repeated_lines(records), "doc_id", "text")
+def p2_near_lines(spark, sf_dir: str) -> DataFrame:
+    """Lines that lie in frequent clusters once names are masked; a superset of templates, not of TESTDATA's cases."""
+    return near_repeated_lines(site_records(spark, sf_dir, names=False)).select("tbl", "rec_id", "line_no", "cluster")
 
 
 P2_SQL = r"""

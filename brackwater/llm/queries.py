@@ -10,7 +10,7 @@ QUERIES = {
     "p1_untimed": survivor.p1_untimed,
     "p2_found": furniture.p2_found,
     "p2_cleaned": furniture.p2_cleaned,
-    "p2_cleaned_documents": furniture.p2_cleaned_documents,
+    "p2_near_lines": furniture.p2_near_lines,
     "p4_found": history.p4_found,
     "p5_found": consolidate.p5_found,
     "p7_found": language.p7_found,

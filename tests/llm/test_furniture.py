@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from brackwater.llm.furniture import band_buckets, letters_of, p2_cleaned, repeated_lines, without_lines
+from brackwater.llm.furniture import band_buckets, letters_of, near_repeated_lines, p2_cleaned, repeated_lines, without_lines, without_names
 
 
 def _records(spark, rows, markup=False):
@@ -43,8 +43,9 @@ def test_against_brute_force(spark):
                 lines.append("All rights reserved everywhere")
             rows.append(("documents", site, f"{site}{i}", "\n".join(lines), 1))
     rows += [("documents", "big", "null", None, 1), ("documents", "big", "blank", "", 1), ("documents", "big", "long", "x" * 200_000 + "\n\n", 1), rows[0]]
-    got = {(r.tbl, r.rec_id, r.line_no) for r in repeated_lines(_records(spark, rows)).collect()}
-    assert got == _brute(rows) and got
+    for numbers in (2_000_000, 0):
+        got = {(r.tbl, r.rec_id, r.line_no) for r in repeated_lines(_records(spark, rows), numbers).collect()}
+        assert got == _brute(rows) and got
 
 
 def test_markup_and_removal(spark):
@@ -56,6 +57,19 @@ def test_markup_and_removal(spark):
     assert {r.text for r in back.collect()} == {f"own text number {'abcdefgh'[i]} here\n" for i in range(4)}
 
 
+def test_clusters_decide_on_a_byline_with_changing_names(spark):
+    names = ["Ann Obst", "Bert Quelle", "Carla Mühl", "Dora Stein", "Emil Vogt", "Franz Uhl"]
+    own = ["apples were cold in march", "biscuits broke in the van again", "cheese came late that day", "the dairy closed its doors", "eggs rolled over the yard", "figs grew along the wall"]
+    rows = [("documents", "s", f"r{i}", f"{own[i]}\nStory told by {n} for the evening desk of our regional paper", 1) for i, n in enumerate(names)]
+    records = _records(spark, rows)
+    assert repeated_lines(records).count() == 0
+    found = near_repeated_lines(records.withColumn("letters", letters_of(without_names(F.col("text")))))
+    got = {(r.rec_id, r.line_no, r.cluster) for r in found.collect()}
+    assert {g[:2] for g in got} == {(f"r{i}", 2) for i in range(6)} and len({g[2] for g in got}) == 1
+    back = without_lines(records.select("rec_id", "text"), found, "rec_id", "text")
+    assert {r.text for r in back.collect()} == set(own)
+
+
 def test_near_lines_share_buckets():
     base = "partagezcetarticleavecvosprochesetsuivezlejournalchaquejourpournerienmanquer"
     b = band_buckets([base, base[:-3] + "xyz", "completelydifferentlettersinthislinewithoutanyoverlap"])
