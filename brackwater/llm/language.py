@@ -160,19 +160,23 @@ def fit(lines: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def training_lines(documents: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> tuple[list[str], list[int]]:
-    """Lines of the labelled sample: at most ``per_language`` documents for each language."""
-    named = documents.select("doc_id", script_of(F.col("text")).alias("script"), label_language(F.col("lang")).alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("script").isNotNull()
-    )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("lang", "script")
+    """Lines of the labelled sample: at most ``per_language`` documents for each language, whole.
+
+    The documents are chosen by id and label alone; only their texts are read.
+    """
+    named = documents.select("doc_id", label_language(F.col("lang")).alias("lang"), (F.length("text") > 0).alias("held")).filter("lang IS NOT NULL AND held")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    ranked = named.select("lang", "doc_id", F.xxhash64("doc_id").alias("place")).distinct()
+    chosen = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("lang", "doc_id")
+    # At most ``per_language`` documents for each of the eight languages.
+    texts = documents.join(F.broadcast(chosen.withColumnRenamed("lang", "told")), "doc_id").select("told", script_of(F.col("text")).alias("script")).distinct()
     lines, labels = [], []
-    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.script)):
+    for row in sorted((r for r in texts.collect() if r.script), key=lambda r: (r.told, r.script)):
         for line in row.script.split("\n"):
             line = f" {line.strip()} "
             if len(line) >= LEAST_CHARS:
-                lines.append(line[:1000])
-                labels.append(LANGUAGES.index(row.lang))
+                lines.append(line)
+                labels.append(LANGUAGES.index(row.told))
     return lines, labels
 
 

@@ -43,15 +43,8 @@ class TokenCounter:
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        pattern = PRETOKENS
-        try:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        except ImportError:
-            pass
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.find = regex.compile(pattern).findall
+        self.encoding = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.find = regex.compile(PRETOKENS).findall
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> int:
@@ -155,6 +148,22 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return plan
 
 
+#: Ranges of a plan that are broadcast; a longer plan is joined by limit and size.
+BROADCAST_RANGES = 1_000_000
+
+
+def _placed(ranked: DataFrame, plan: DataFrame, length: int) -> DataFrame:
+    """Each ranked piece with its range ``x`` of the plan: one joined row for each piece.
+
+    The ranges of a size are one sorted array, in which a piece takes the last
+    range that begins at or before its rank.
+    """
+    sizes = plan.groupBy("limit_id", "size").agg(F.array_sort(F.collect_list(F.struct("lo", "bin", "per"))).alias("ranges"))
+    met = ranked.join(F.broadcast(sizes) if length <= BROADCAST_RANGES else sizes, ["limit_id", "size"])
+    begun = F.filter("ranges", lambda r: r["lo"] <= F.col("rank"))
+    return met.select("limit_id", "doc_id", "piece_no", "size", "rank", F.element_at(begun, -1).alias("x"))
+
+
 def pack(docs: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(limit_id, doc_id, piece_no, n_tokens, bin_id): every document in containers of every capacity.
 
@@ -195,11 +204,10 @@ def pack(docs: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> Da
         .join(offsets, ["limit_id", "size", "block"])
         .select("limit_id", "size", "doc_id", "piece_no", (F.col("at") + F.col("offset")).alias("rank"))
     )
-    # The plan's length is bounded by the capacities, not by the corpus.
-    placed = ranked.join(F.broadcast(plan), ["limit_id", "size"]).filter(F.col("rank").between(F.col("lo"), F.col("hi")))
+    placed = _placed(ranked, plan, len(ranges))
     found = placed.select(
         "limit_id", "doc_id", F.col("piece_no").cast("bigint").alias("piece_no"), F.col("size").alias("n_tokens"),
-        (F.col("bin") + F.floor((F.col("rank") - F.col("lo")) / F.col("per")) + 1).cast("bigint").alias("bin_id"),
+        (F.col("x.bin") + F.floor((F.col("rank") - F.col("x.lo")) / F.col("x.per")) + 1).cast("bigint").alias("bin_id"),
     )
     empty = pieces.filter("size <= 0").select("limit_id", "doc_id", F.col("piece_no").cast("bigint"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).cast("bigint").alias("bin_id"))
     return found.unionByName(empty)
