@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -24,12 +25,15 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else html.unescape(t))
+
+
 def strip_markup(c: Column) -> Column:
-    """Tags and common entities away, white space collapsed."""
-    plain = F.regexp_replace(c, r"<[^>]*>", " ")
-    for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return collapse(plain)
+    """Entities become characters, then tags go and white space is collapsed; texts without ``&`` stay in the JVM."""
+    plain = F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"<[^>]+>", " "), r"(?U)\s+", " "))
 
 
 def split_list(c: Column) -> Column:
@@ -38,8 +42,8 @@ def split_list(c: Column) -> Column:
 
 
 def without_boilerplate(c: Column) -> Column:
-    """Sentences that hold a furniture marker are dropped."""
-    parts = F.split(collapse(c), r"\. ")
+    """Tags go, then the sentences that hold a furniture marker."""
+    parts = F.split(collapse(F.regexp_replace(c, r"<[^>]+>", " ")), r"\. ")
     keep = F.filter(parts, lambda x: ~F.lower(x).rlike("|".join(BOILERPLATE)))
     return F.array_join(keep, ". ")
 
@@ -62,6 +66,22 @@ def specific_product(c: Column) -> Column:
     return F.coalesce((tidy != "") & ~tidy.isin(*VAGUE_PRODUCTS) & (marks < 4) & (ands < 4), F.lit(False))
 
 
+def header(c: Column, most: int = 160) -> Column:
+    """A heading: white space collapsed, outer punctuation trimmed, blank if longer than ``most``."""
+    tidy = F.regexp_replace(collapse(c), r"^[\s.,;:|-]+|[\s.,;:|-]+$", "")
+    return F.when(F.length(tidy) > most, "").otherwise(tidy)
+
+
+def place(c: Column) -> Column:
+    """A place in lower case, everything but ASCII letters and digits as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def bounded_score(c: Column) -> Column:
+    """A score rounded half up and kept within 0 and 100."""
+    return F.least(F.greatest(F.floor(c + 0.5), F.lit(0)), F.lit(100)).cast("int")
+
+
 def confidence_label(c: Column) -> Column:
     return F.when(c >= 85, "very high").when(c >= 70, "high").when(c >= 50, "medium").otherwise("low")
 

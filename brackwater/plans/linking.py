@@ -31,7 +31,12 @@ def _(s, d):
     return t.candidates(s, d).select("candidate_id", F.when(n != "", F.sha2(n, 256)).otherwise("").alias("fingerprint"))
 
 
-@query("tx03_clean_text", r"SELECT field_recall_number, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(field_press_release, '<[^>]*>', ' ', 'g'), '&quot;', '""'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS body FROM (SELECT DISTINCT field_recall_number, field_press_release FROM us_recall)".replace('""', '"'))
+_CLEAN = "x"
+for _a, _b in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&nbsp;", " "), ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b}')"
+
+
+@query("tx03_clean_text", f"SELECT field_recall_number, md5(trim(regexp_replace(regexp_replace({_CLEAN}, '<[^>]+>', ' ', 'g'), '[\\s\u00a0]+', ' ', 'g'))) AS body FROM (SELECT DISTINCT field_recall_number, field_press_release AS x FROM us_recall)")
 def _(s, d):
     u = table(s, d, "us_recall").select("field_recall_number", "field_press_release").distinct()
     return u.select("field_recall_number", F.md5(text.strip_markup(F.col("field_press_release"))).alias("body"))
@@ -43,7 +48,7 @@ def _(s, d):
     return f.select("numero_fiche", F.array_join(text.split_list(F.col("distributeurs")), "; ").alias("items"))
 
 
-@query("tx06_without_boilerplate", f"WITH {A} SELECT alert_id, md5(array_to_string(list_filter(string_split(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '. '), lambda x: NOT regexp_matches(lower(x), '{'|'.join(text.BOILERPLATE)}')), '. ')) AS body FROM a")
+@query("tx06_without_boilerplate", f"WITH {A} SELECT alert_id, md5(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(summary, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '. '), lambda x: NOT regexp_matches(lower(x), '{'|'.join(text.BOILERPLATE)}')), '. ')) AS body FROM a")
 def _(s, d):
     return t.alerts(s, d).select("alert_id", F.md5(text.without_boilerplate(F.col("summary"))).alias("body"))
 
@@ -72,14 +77,30 @@ _PARTS = r"lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://'
 _PATH, _QUERY = r"regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)", r"regexp_extract(u, '^[^?#]*\?([^#]*)', 1)"
 
 
-@query("ur02_lenient_url", f"WITH {A}, x AS (SELECT alert_id, source_url AS u, array_to_string(list_sort(list_filter(string_split({_QUERY.replace('u,', 'source_url,')}, '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({', '.join(repr(k) for k in urls.LENIENT_KEYS)}))), '&') AS q FROM a) SELECT alert_id, {_PARTS} || regexp_replace(regexp_replace({_PATH}, '/+', '/', 'g'), '/$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM x")
+_PAIRS = "list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: [url_decode(split_part(x, '=', 1)), url_decode(CASE WHEN contains(x, '=') THEN x[strpos(x, '=') + 1:] ELSE '' END)])"
+_WRITTEN = "array_to_string(list_transform({}, lambda kv: url_encode(kv[1]) || '=' || url_encode(kv[2])), '&')"
+
+
+@query("ur02_lenient_url", f"""WITH {A}, x AS (SELECT alert_id, trim(source_url) AS u FROM a WHERE source_url IS NOT NULL), p AS (SELECT alert_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s,
+lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS h, {_PATH} AS p, {_QUERY} AS q FROM x),
+f AS (SELECT alert_id, s, h, p, {_WRITTEN.format(f"list_sort(list_filter({_PAIRS}, lambda kv: lower(kv[1]) NOT IN ({', '.join(map(repr, urls.LENIENT_KEYS))})))")} AS q FROM p)
+SELECT alert_id, s || '://' || CASE WHEN s = 'https' AND ends_with(h, ':443') THEN h[:-5] WHEN s = 'http' AND ends_with(h, ':80') THEN h[:-4] ELSE h END
+|| coalesce(nullif(rtrim(regexp_replace(p, '/{{2,}}', '/', 'g'), '/'), ''), '/') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM f""")
 def _(s, d):
-    return t.alerts(s, d).select("alert_id", urls.lenient(F.col("source_url")).alias("url"))
+    return t.alerts(s, d).filter("source_url IS NOT NULL").select("alert_id", urls.canonical(F.col("source_url")).alias("url"))
 
 
-@query("ur03_scraper_url", f"WITH {A}, x AS (SELECT alert_id, source_url AS u, array_to_string(list_filter(string_split({_QUERY.replace('u,', 'source_url,')}, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({'|'.join(urls.SCRAPER_PREFIXES)})')), '&') AS q FROM a) SELECT alert_id, {_PARTS} || {_PATH} || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM x")
+@query("ur03_scraper_url", f"""WITH {A}, x AS (SELECT alert_id, source_url AS u FROM a WHERE source_url IS NOT NULL), p AS (SELECT alert_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s,
+regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h, {_PATH} AS p, {_QUERY} AS q FROM x),
+f AS (SELECT alert_id, s, h, p, {_WRITTEN.format(f"list_filter({_PAIRS}, lambda kv: NOT regexp_matches(lower(kv[1]), '^({'|'.join(urls.SCRAPER_PREFIXES)})'))")} AS q FROM p)
+SELECT alert_id, s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM f""")
 def _(s, d):
-    return t.alerts(s, d).select("alert_id", urls.scraper(F.col("source_url")).alias("url"))
+    return t.alerts(s, d).filter("source_url IS NOT NULL").select("alert_id", urls.scraper(F.col("source_url")).alias("url"))
+
+
+@query("ur01_strict_url")
+def _(s, d):
+    return t.alerts(s, d).select("alert_id", urls.strict(F.col("source_url")).alias("url"))
 
 
 @query("ur04_collapsed_segments")
@@ -87,6 +108,17 @@ def _(s, d):
     return t.alerts(s, d).select("alert_id", urls.collapsed_segments(urls.path(F.col("source_url"))).alias("path"))
 
 
+@query("ur05_joined_link", f"SELECT DISTINCT source_name, regexp_replace(homepage_url, '/+$', '') || '/recalls/today' AS url FROM sources")
+def _(s, d):
+    joined = F.concat(urls.base(F.col("homepage_url")), urls.collapsed_segments(F.concat(urls.path(F.col("homepage_url")), F.lit("/recalls/today"))))
+    return t.sources(s, d).select("source_name", joined.alias("url"))
+
+
+@query("ur06_base_url", "SELECT DISTINCT source_name, lower(regexp_extract(homepage_url, '^([A-Za-z]+://[^/?#]+)', 1)) AS base FROM sources")
+def _(s, d):
+    return t.sources(s, d).select("source_name", urls.base(F.col("homepage_url")).alias("base"))
+
+
 @query("ur06_domains", "SELECT DISTINCT source_name, array_to_string([h, 'www.' || h], ',') AS domains FROM (SELECT source_name, regexp_replace(lower(regexp_extract(homepage_url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS h FROM sources)")
 def _(s, d):
     return t.sources(s, d).select("source_name", F.array_join(urls.domains(F.col("homepage_url")), ",").alias("domains"))
@@ -102,9 +134,13 @@ def _(s, d):
     return t.candidates(s, d).select("candidate_id", ids.nul_hash(F.trim("title"), F.trim("country"), F.trim("language")).alias("key"))
 
 
-@query("hs04_uuid5")
+#: Fixed value: the namespace of incident ids.
+INCIDENT_NAMESPACE = uuid.UUID("257e537e-d840-531f-aec4-5ca8f741fd37")
+
+
+@query("hs04_uuid5", f"WITH {I}, x AS (SELECT incident_id, sha1(from_hex('{INCIDENT_NAMESPACE.hex}') || encode(coalesce(cluster_fingerprint, ''))) AS h FROM i) SELECT incident_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM x")
 def _(s, d):
-    return t.incidents(s, d).select("incident_id", ids.uuid5(F.coalesce("cluster_fingerprint", F.lit("")), uuid.NAMESPACE_URL).alias("uuid"))
+    return t.incidents(s, d).select("incident_id", ids.uuid5(F.coalesce("cluster_fingerprint", F.lit("")), INCIDENT_NAMESPACE).alias("uuid"))
 
 
 @query("hs05_content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")

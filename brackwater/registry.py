@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brackwater.plans import crawl, details, general, linking, serving
+from brackwater.plans import crawl, details, general, incidents, linking, serving
 
-QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES, **details.QUERIES, **crawl.QUERIES}
-ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES, **details.ORACLES, **crawl.ORACLES}
+QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES, **details.QUERIES, **crawl.QUERIES, **incidents.QUERIES}
+ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES, **details.ORACLES, **crawl.ORACLES, **incidents.ORACLES}
 FLAGSHIP = "ag01_totals"
