@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.runtime import shared_path
+
 #: tag -> (field, children); the tree of one record kind.
 Tree = dict[str, tuple[str, dict]]
 
@@ -33,7 +35,7 @@ SCHEMAS = {
     "allergen": "label string, notation string",
     "related_media": "`@id` string, title string",
     "product": "productName string, packSizeDescription string",
-    "batch": "batchCode string, batchTextDescription string",
+    "batch": "batchCode string, bestBeforeDescription string",
     "evidence": "url string, title string, publication_date string, source_kind string, content_hash string, "
     "domain string, publisher string",
     "alias": "value string",
@@ -138,12 +140,23 @@ def write_tables(tagged: DataFrame, path: str) -> None:
     tagged.dropDuplicates(["rec_id", "child", "row_key"]).write.partitionBy("child").mode("overwrite").parquet(path)
 
 
-def typed_table(tagged: DataFrame, tag: str) -> DataFrame:
-    """One child table with its schema applied, each row with its parent's key."""
-    payload = F.from_json("payload", SCHEMAS[tag])
-    return (
-        tagged.filter(F.col("child") == tag)
-        .dropDuplicates(["row_key"])
-        .select("rec_id", "row_key", "parent_key", "parent_pos", "pos", payload.alias("x"))
-        .select("rec_id", "row_key", "parent_key", "parent_pos", "pos", "x.*")
+def _typed(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows of one tag with its schema applied; fields that the schema does not name stay in ``payload``."""
+    return rows.select("rec_id", "row_key", "parent_key", "parent_pos", "pos", F.from_json("payload", SCHEMAS[tag]).alias("x"), "payload").select(
+        "rec_id", "row_key", "parent_key", "parent_pos", "pos", "x.*", "payload"
     )
+
+
+def child_tables(tagged: DataFrame, tags: tuple[str, ...]) -> dict[str, DataFrame]:
+    """One typed table for each tag, from a single pass: the tagged rows are written once by tag and read back pruned."""
+    spark = tagged.sparkSession
+    path = shared_path(spark, "children")
+    write_tables(tagged, path)
+    shape = ", ".join(f for f in EMITTED.split(", ") if not f.startswith("child ")) + ", child string"
+    rows = spark.read.schema(shape).parquet(path)
+    return {tag: _typed(rows.filter(F.col("child") == tag), tag) for tag in tags}
+
+
+def typed_table(tagged: DataFrame, tag: str) -> DataFrame:
+    """One child table with its schema applied, each row with its parent's key, without the write."""
+    return _typed(tagged.filter(F.col("child") == tag).dropDuplicates(["row_key"]), tag)

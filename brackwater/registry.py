@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brackwater.plans import crawl, details, general, incidents, linking, serving
+from brackwater.plans import crawl, details, general, incidents, linking, payloads, serving, written_dates
 
-QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES, **details.QUERIES, **crawl.QUERIES, **incidents.QUERIES}
-ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES, **details.ORACLES, **crawl.ORACLES, **incidents.ORACLES}
+QUERIES = {**general.QUERIES, **serving.QUERIES, **linking.QUERIES, **details.QUERIES, **crawl.QUERIES, **incidents.QUERIES, **written_dates.QUERIES, **payloads.QUERIES}
+ORACLES = {**general.ORACLES, **serving.ORACLES, **linking.ORACLES, **details.ORACLES, **crawl.ORACLES, **incidents.ORACLES, **written_dates.ORACLES, **payloads.ORACLES}
 FLAGSHIP = "ag01_totals"
