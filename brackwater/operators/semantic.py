@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors sent to the tasks at once.
+from brackwater.runtime import shared_path
+
+#: Query vectors on the driver and in the tasks at once.
 BLOCK = 4096
+_SHAPE = "query_id bigint, vec_id bigint, score double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -18,38 +21,67 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row, ties by smaller id."""
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    return np.take_along_axis(np.broadcast_to(ids, scores.shape), order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
+def _scan_block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[DataFrame, object]:
+    """At most k candidates of each query for each task; and the broadcast block."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        kept_ids, kept = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            scores = vectors @ _matrix(batch.column(1)).T
+            scores[ids[:, None] == own[None, :]] = -np.inf
+            new_ids, new = _best(own, scores, k)
+            all_ids, all_scores = np.concatenate([kept_ids, new_ids], axis=1), np.concatenate([kept, new], axis=1)
+            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            kept_ids, kept = np.take_along_axis(all_ids, order, axis=1), np.take_along_axis(all_scores, order, axis=1)
+        good = kept.ravel() > -np.inf
+        q = np.repeat(ids, kept.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(kept_ids.ravel()[good]), pa.array(kept.ravel()[good])], names=["query_id", "vec_id", "score"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(scan, _SHAPE), shared
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, vec_id, rank): the ``k`` nearest other rows of each query vector.
+    """(query_id, vec_id, rank): the ``k`` nearest other rows of each query vector, ties by smaller id.
 
-    The stated queries go out in blocks; every task keeps k candidates for each
-    query and batch, and one partial aggregate merges them.
+    The stated queries come through the driver one block at a time.  Every task
+    keeps the k best of each query of the block over all its rows; these bounded
+    candidates are written to the shared folder and merged by rank.  Null
+    vectors are ignored; an empty query set gives an empty result.
     """
-    held = queries.select("vec_id", "embedding").orderBy("vec_id").toPandas()
-    result = None
-    for at in range(0, len(held), block):
-        part = held.iloc[at : at + block]
-        ids, vectors = part["vec_id"].to_numpy(np.int64), _matrix(pa.array(part["embedding"].tolist()))
-        shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = vectors @ _matrix(batch.column(1)).T
-                scores[ids[:, None] == own[None, :]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(scores, top, axis=1)
-                q = np.repeat(ids, top.shape[1])
-                good = kept.ravel() > -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q[good]), pa.array(own[top.ravel()][good]), pa.array(kept.ravel()[good])], names=["query_id", "vec_id", "score"]
-                )
-
-        found = rows.select("vec_id", "embedding").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, rank int")
-    best = result.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("p", "x")).select("query_id", F.col("x.vec_id").alias("vec_id"), (F.col("p") + 1).alias("rank"))
+    spark = rows.sparkSession
+    path = shared_path(spark, "nearest")
+    stated = queries.select("vec_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator()
+    held_rows = rows.filter("embedding IS NOT NULL")
+    part: list = []
+
+    def flush() -> None:
+        ids = np.array([r.vec_id for r in part], dtype=np.int64)
+        found, shared = _scan_block(held_rows, ids, _matrix(pa.array([r.embedding for r in part])), k)
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+        part.clear()
+
+    empty = True
+    for row in stated:
+        empty = False
+        part.append(row)
+        if len(part) == block:
+            flush()
+    if part:
+        flush()
+    if empty:
+        return spark.createDataFrame([], "query_id bigint, vec_id bigint, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = spark.read.schema(_SHAPE).parquet(path).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")

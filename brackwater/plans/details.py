@@ -34,27 +34,9 @@ def _(s, d):
     return t.candidates(s, d).join(F.broadcast(wanted), "canonical_url", "left_semi").select("candidate_id", "canonical_url")
 
 
-@query("sc10_run_log", "SELECT event_id, event_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 100")
-def _(s, d):
-    return t.events(s, d).filter("user_id = 7").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "event_type")
-
-
-@query("fl10_allowed_urls", f"WITH {C}, h AS (SELECT candidate_id, lower(regexp_extract(canonical_url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_extract(canonical_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p FROM c) SELECT candidate_id FROM h WHERE (ends_with(host, '.test') OR ends_with(host, 'agency.example')) AND NOT starts_with(p, '/market')")
-def _(s, d):
-    host, path = urls.host(F.col("canonical_url")), urls.path(F.col("canonical_url"))
-    allowed = F.endswith(host, F.lit(".test")) | F.endswith(host, F.lit("agency.example"))
-    return t.candidates(s, d).filter(allowed & ~F.startswith(path, F.lit("/market"))).select("candidate_id")
-
-
-@query("fl11_detail_urls", f"WITH {A} SELECT alert_id FROM a WHERE contains(lower(source_url), 'recall') OR contains(lower(source_url), 'notice')")
-def _(s, d):
-    u = F.lower("source_url")
-    return t.alerts(s, d).filter(F.contains(u, F.lit("recall")) | F.contains(u, F.lit("notice"))).select("alert_id")
-
-
 @query("fl16_plausible_dates", f"WITH {A} SELECT alert_id FROM a WHERE recall_date BETWEEN DATE '1900-01-01' AND DATE '{AS_OF}'")
 def _(s, d):
-    return t.alerts(s, d).filter(dates.plausible(F.col("recall_date"), AS_OF)).select("alert_id")
+    return t.alerts(s, d, dates.plausible(F.col("recall_date"), AS_OF)).select("alert_id")
 
 
 @query("fl21_no_future_date", f"WITH {A} SELECT alert_id, strftime(CASE WHEN recall_date <= DATE '{AS_OF}' THEN recall_date END, '%Y-%m-%d') AS recall_date FROM a")
@@ -96,13 +78,6 @@ def _(s, d):
     return t.alerts(s, d).select("alert_id", F.array_join(kept, ", ").alias("regions"))
 
 
-@query("tx16_embedding_document", f"WITH {I} SELECT incident_id, md5(concat_ws(chr(10), 'Product: ' || nullif(trim(product_name), ''), 'Company: ' || nullif(trim(company_name), ''), 'Reason: ' || nullif(trim(incident_reason), ''))) AS document FROM i")
-def _(s, d):
-    line = lambda n, c: F.concat(F.lit(f"{n}: "), F.nullif(F.trim(c), F.lit("")))
-    doc = F.concat_ws("\n", line("Product", "product_name"), line("Company", "company_name"), line("Reason", "incident_reason"))
-    return t.incidents(s, d).select("incident_id", F.md5(doc).alias("document"))
-
-
 @query("pr06_base_weight", f"WITH {I} SELECT incident_id, (CASE source_kind {' '.join(f'WHEN {k!r} THEN {v}' for k, v in scoring.BASE_WEIGHTS.items())} ELSE 40 END)::bigint AS w FROM i")
 def _(s, d):
     return t.incidents(s, d).select("incident_id", scoring.base_weight(F.col("source_kind")).cast("bigint").alias("w"))
@@ -119,13 +94,6 @@ def _(s, d):
     return r.select(F.concat_ws(", ", "region", F.nullif("country_source", F.lit(""))).alias("q")).distinct()
 
 
-@query("sk02_patched_coordinates", f"WITH {A}, m AS (SELECT country_source, avg(latitude) AS lat FROM a WHERE latitude <> 0 GROUP BY 1) SELECT alert_id, round(coalesce(nullif(latitude, 0), lat), 6) AS lat FROM a LEFT JOIN m USING (country_source)")
-def _(s, d):
-    a = t.alerts(s, d)
-    m = a.filter("latitude <> 0").groupBy("country_source").agg(F.avg("latitude").alias("lat"))
-    return a.join(m, "country_source", "left").select("alert_id", F.round(F.coalesce(F.nullif("latitude", F.lit(0.0)), "lat"), 6).alias("lat"))
-
-
 @query("ag15_run_statistics", "SELECT event_type, count(*) AS n, round(avg(value), 3) AS mean_value, count(*) FILTER (value > 50) AS slow FROM events GROUP BY 1")
 def _(s, d):
     return t.events(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean_value"), F.count_if(F.col("value") > 50).alias("slow"))
@@ -163,3 +131,39 @@ def _(s, d):
 def _(s, d):
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     return t.events(s, d).select("user_id", "event_id", "event_type", newest.alias("newest"))
+
+
+@query("ag15_model_statistics", "SELECT event_type AS model, count(*) AS cases, round(count(*) FILTER (value <= 50) / count(*), 6) AS success, round(avg(value), 4) AS seconds, round(avg(value) FILTER (value <= 50), 4) AS seconds_of_successes FROM events GROUP BY 1")
+def _(s, d):
+    """Each kind of event as a model whose case succeeds within 50 seconds; some averages cover the successes only."""
+    ok = F.col("value") <= 50
+    g = t.events(s, d).groupBy(F.col("event_type").alias("model"))
+    return g.agg(F.count("*").alias("cases"), F.round(F.count_if(ok) / F.count("*"), 6).alias("success"), F.round(F.avg("value"), 4).alias("seconds"), F.round(F.avg(F.when(ok, F.col("value"))), 4).alias("seconds_of_successes"))
+
+
+#: The counters of a run: name and the candidates that each counts.
+COUNTERS = (
+    ("discovered", "true"), ("accepted", "decision = 'accept'"), ("borderline", "decision = 'borderline'"), ("rejected", "decision = 'reject'"),
+    ("converted", "processing_status = 'converted'"), ("classified", "processing_status = 'classified'"), ("retryable", "processing_status = 'retryable'"),
+    ("fetch_failed", "processing_status = 'fetch_failed'"), ("unsupported", "processing_status = 'unsupported_content'"), ("linked", "linked_incident_id <> ''"),
+    ("with_content", "content_hash <> ''"), ("errors", "last_error <> ''"),
+)
+
+
+@query("ag17_run_counters", f"WITH {C} SELECT load_no, " + ", ".join(f"count(*) FILTER ({w}) AS {n}" for n, w in COUNTERS) + " FROM c GROUP BY load_no")
+def _(s, d):
+    return t.candidates(s, d).groupBy("load_no").agg(*(F.count_if(F.expr(w)).alias(n) for n, w in COUNTERS))
+
+
+@query("pr16_retry_delay", f"WITH {C} SELECT candidate_id, (2.0 * power(2, greatest(attempt_count, 0)))::double AS seconds FROM c")
+def _(s, d):
+    return t.candidates(s, d).select("candidate_id", (F.lit(2.0) * F.pow(F.lit(2), F.greatest("attempt_count", F.lit(0)))).alias("seconds"))
+
+
+@query("pr13_jittered", f"WITH {A} SELECT alert_id FROM a WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+def _(s, d):
+    """Coordinates moved by at most a tenth of a degree, the same for an alert at every run, within the world's bounds."""
+    part = lambda n: (F.pmod(F.xxhash64("alert_id", F.lit(n)), F.lit(2001)) - 1000) / 10000
+    lat, lon = F.col("latitude") + part(1), F.col("longitude") + part(2)
+    near = (F.abs(lat - F.col("latitude")) <= 0.1001) & (F.abs(lon - F.col("longitude")) <= 0.1001)
+    return t.alerts(s, d, F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).filter(near & lat.between(-90.1, 90.1)).select("alert_id")

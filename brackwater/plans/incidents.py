@@ -57,14 +57,14 @@ _DAY = "(SELECT max(recall_date) FROM alerts)"
 @query("fl01_date_keyword", f"WITH {A} SELECT alert_id, strftime(recall_date, '%Y-%m-%d') AS recall_date FROM a WHERE recall_date >= {_DAY} - 60 AND risk_level IN ('High', 'Medium') AND contains(lower(array_to_string(list_filter({_SEARCHED}, lambda x: x <> ''), ' ')), 'shoppers')")
 def _(s, d):
     newest = table(s, d, "alerts").agg(F.max("recall_date").alias("newest"))
-    near = t.alerts(s, d).filter("risk_level IN ('High', 'Medium')").join(F.broadcast(newest), F.col("recall_date") >= F.date_sub("newest", 60))
+    near = t.alerts(s, d, "risk_level IN ('High', 'Medium')").join(F.broadcast(newest), F.col("recall_date") >= F.date_sub("newest", 60))
     found = near.filter(F.contains(searched_text(near), F.lit("shoppers")))
     return found.select("alert_id", day("recall_date").alias("recall_date")).orderBy(F.desc("recall_date"), "alert_id")
 
 
 @query("fl04_incident_type", f"WITH {I} SELECT incident_id FROM i WHERE verification_status = 'pending' AND incident_type = 'foodborne_outbreak' AND confidence_score >= 50 AND lower(trim(country)) <> ''")
 def _(s, d):
-    return t.incidents(s, d).filter("verification_status = 'pending' AND incident_type = 'foodborne_outbreak' AND confidence_score >= 50 AND lower(trim(country)) <> ''").select("incident_id")
+    return t.incidents(s, d, "verification_status = 'pending' AND incident_type = 'foodborne_outbreak' AND confidence_score >= 50 AND lower(trim(country)) <> ''").select("incident_id")
 
 
 _EIGHT = ("product_name", "company_name", "product_category", "hazard_type", "incident_reason", "summary", "country", "primary_publisher")
@@ -73,7 +73,7 @@ _EIGHT = ("product_name", "company_name", "product_category", "hazard_type", "in
 @query("fl05_search_by_day", f"WITH {I} SELECT incident_id FROM i WHERE contains(lower(concat_ws(' ', {', '.join(f'''coalesce({c}, '')''' for c in _EIGHT)})), 'salmonella') AND {_EFFECTIVE} >= DATE '2024-01-01'")
 def _(s, d):
     joined = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in _EIGHT)))
-    return t.incidents(s, d).filter(F.contains(joined, F.lit("salmonella")) & (effective_date() >= F.lit("2024-01-01").cast("date"))).select("incident_id")
+    return t.incidents(s, d, F.contains(joined, F.lit("salmonella")) & (effective_date() >= F.lit("2024-01-01").cast("date"))).select("incident_id")
 
 
 #: Sort modes of the incidents: columns and whether they fall.
@@ -281,7 +281,7 @@ _NAMES = "list_sort(list_distinct(regexp_extract_all(lower(strip_accents(replace
 def _(s, d):
     """Distinct product names, as sorted words, of which one holds all words of the other."""
     words = F.array_sort(F.array_distinct(F.split(text.folded(F.col("product_name")), " ")))
-    n = t.incidents(s, d).filter("product_name IS NOT NULL").select(F.array_join(words, " ").alias("w")).filter("w <> ''").distinct()
+    n = t.incidents(s, d, "product_name IS NOT NULL").select(F.array_join(words, " ").alias("w")).filter("w <> ''").distinct()
     n = n.select("w", F.split("w", " ").alias("tokens"))
     held = linkage.contains_tokens(n.filter(F.size("tokens") >= 2).withColumnRenamed("w", "a"), n.withColumnRenamed("w", "b"))
     return held.filter("a <> b").select(F.col("a").alias("l"), F.col("b").alias("r"))
@@ -300,7 +300,7 @@ def _(s, d):
 @query("jn13_place_alias", f"WITH {I}, p AS (SELECT DISTINCT trim(regexp_replace(lower(country), '[^a-z0-9]+', ' ', 'g')) AS place FROM i WHERE country IS NOT NULL), s AS (SELECT DISTINCT country_source AS c, trim(regexp_replace(lower(country_source), '[^a-z0-9]+', ' ', 'g')) AS alias FROM sources) SELECT DISTINCT p.place, s.c FROM p JOIN s ON p.place = s.alias OR (length(s.alias) > 3 AND contains(' ' || p.place || ' ', ' ' || s.alias || ' '))")
 def _(s, d):
     """Places that name a source's country, alone or as whole words; both sides are distinct names."""
-    p = t.incidents(s, d).filter("country IS NOT NULL").select(text.place(F.col("country")).alias("place")).distinct()
+    p = t.incidents(s, d, "country IS NOT NULL").select(text.place(F.col("country")).alias("place")).distinct()
     a = t.sources(s, d).select(F.col("country_source").alias("c"), text.place(F.col("country_source")).alias("alias")).distinct()
     words = F.split("place", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
@@ -327,7 +327,7 @@ def _(s, d):
 @query("jn09_verified")
 def _(s, d):
     """Unresolved incidents with the official alert that confirms them: status, score, reason, linked ids."""
-    open_ = t.incidents(s, d).filter(~F.col("verification_status").isin(*merge.TERMINAL)).select("incident_id", "linked_official_alert_ids")
+    open_ = t.incidents(s, d, ~F.col("verification_status").isin(*merge.TERMINAL)).select("incident_id", "linked_official_alert_ids")
     link = linking.QUERIES["jn08_official_link"](s, d)
     ids_ = F.array_distinct(F.concat(F.coalesce("linked_official_alert_ids", F.array().cast("array<string>")), F.array("alert_id")))
     reason = F.concat(F.lit("official recall "), "alert_id", F.lit(" linked by "), "kind", F.lit(": score set to 100"))
@@ -336,7 +336,7 @@ def _(s, d):
 
 @query("fl09_unresolved", f"WITH {I} SELECT incident_id FROM i WHERE verification_status NOT IN ('dismissed', 'superseded', 'officially_confirmed')")
 def _(s, d):
-    return t.incidents(s, d).filter(~F.col("verification_status").isin(*merge.TERMINAL)).select("incident_id")
+    return t.incidents(s, d, ~F.col("verification_status").isin(*merge.TERMINAL)).select("incident_id")
 
 
 # --- Merging -----------------------------------------------------------------

@@ -87,7 +87,7 @@ f AS (SELECT alert_id, s, h, p, {_WRITTEN.format(f"list_sort(list_filter({_PAIRS
 SELECT alert_id, s || '://' || CASE WHEN s = 'https' AND ends_with(h, ':443') THEN h[:-5] WHEN s = 'http' AND ends_with(h, ':80') THEN h[:-4] ELSE h END
 || coalesce(nullif(rtrim(regexp_replace(p, '/{{2,}}', '/', 'g'), '/'), ''), '/') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM f""")
 def _(s, d):
-    return t.alerts(s, d).filter("source_url IS NOT NULL").select("alert_id", urls.canonical(F.col("source_url")).alias("url"))
+    return t.alerts(s, d, "source_url IS NOT NULL").select("alert_id", urls.canonical(F.col("source_url")).alias("url"))
 
 
 @query("ur03_scraper_url", f"""WITH {A}, x AS (SELECT alert_id, source_url AS u FROM a WHERE source_url IS NOT NULL), p AS (SELECT alert_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s,
@@ -95,7 +95,7 @@ regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h, {_PATH} AS p,
 f AS (SELECT alert_id, s, h, p, {_WRITTEN.format(f"list_filter({_PAIRS}, lambda kv: NOT regexp_matches(lower(kv[1]), '^({'|'.join(urls.SCRAPER_PREFIXES)})'))")} AS q FROM p)
 SELECT alert_id, s || '://' || h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM f""")
 def _(s, d):
-    return t.alerts(s, d).filter("source_url IS NOT NULL").select("alert_id", urls.scraper(F.col("source_url")).alias("url"))
+    return t.alerts(s, d, "source_url IS NOT NULL").select("alert_id", urls.scraper(F.col("source_url")).alias("url"))
 
 
 @query("ur01_strict_url")
@@ -159,8 +159,6 @@ def _smallest(name: str, spark_key, sql_key: str) -> None:
 
 _smallest("jn02_same_url", lambda e: F.lower(F.trim(e["url"])), "lower(trim(e.url))")
 _smallest("jn03_same_content_hash", lambda e: e["content_hash"], "e.content_hash")
-_smallest("jn04_same_title", lambda e: F.lower(F.trim(e["title"])), "lower(trim(e.title))")
-
 
 
 def incident_urls(s, d):
@@ -202,10 +200,11 @@ def _(s, d):
     tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")))
     x = t.incidents(s, d).select(F.col("incident_id").alias("id"), tokens(F.col("product_name")).alias("p"), tokens(F.col("company_name")).alias("c"), F.to_date("first_discovered_at").alias("day"))
     x = x.filter((F.size("p") >= 2) & (F.size("c") >= 2))
-    held = linkage.contains_tokens(x.select(F.col("id").alias("a"), F.col("p").alias("tokens")), x.select(F.col("id").alias("b"), F.col("p").alias("tokens")))
-    left = x.select(F.col("id").alias("a"), F.col("c").alias("ac"), F.col("day").alias("ad"))
-    right = x.select(F.col("id").alias("b"), F.col("c").alias("bc"), F.col("day").alias("bd"))
-    m = held.filter("a <> b").join(left, "a").join(right, "b").filter((F.col("ac") == F.col("bc")) & linkage.within_days(F.col("ad"), F.col("bd"))).select("a", "b")
+    block = F.floor(F.unix_date("day") / 8)
+    left = x.select(F.col("id").alias("a"), F.col("p").alias("ap"), "c", F.col("day").alias("ad"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = x.select(F.col("id").alias("b"), F.col("p").alias("bp"), "c", F.col("day").alias("bd"), block.alias("block"))
+    inside = (F.size("ap") <= F.size("bp")) & (F.size(F.array_except("ap", "bp")) == 0)
+    m = left.join(right, ["c", "block"]).filter((F.col("a") != F.col("b")) & linkage.within_days(F.col("ad"), F.col("bd")) & inside).select("a", "b")
     both = m.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(m.select(F.col("b").alias("id"), F.col("a").alias("other")))
     return both.groupBy("id").agg(F.min("other").alias("other_id"))
 
@@ -252,8 +251,10 @@ def _(s, d):
 @query("jn08_official_match", f"WITH {A}, {I} SELECT i.incident_id, min(a.alert_id) AS alert_id FROM i JOIN a ON lower(trim(i.product_name)) = lower(trim(a.product_name)) AND trim(i.product_name) <> '' AND abs(date_diff('day', CAST(i.first_discovered_at AS date), a.recall_date)) <= 365 GROUP BY 1")
 def _(s, d):
     i = t.incidents(s, d).select("incident_id", F.lower(F.trim("product_name")).alias("k"), F.to_date("first_discovered_at").alias("day")).filter("k <> ''")
-    a = t.alerts(s, d).select("alert_id", F.lower(F.trim("product_name")).alias("k"), "recall_date")
-    return i.join(a, "k").filter(linkage.within_days(F.col("day"), F.col("recall_date"), 365)).groupBy("incident_id").agg(F.min("alert_id").alias("alert_id"))
+    block = lambda c: F.floor(F.unix_date(c) / 366)
+    a = t.alerts(s, d).select("alert_id", F.lower(F.trim("product_name")).alias("k"), "recall_date", block("recall_date").alias("block"))
+    near = i.withColumn("block", F.explode(F.array(block("day") - 1, block("day"), block("day") + 1)))
+    return near.join(a, ["k", "block"]).filter(linkage.within_days(F.col("day"), F.col("recall_date"), 365)).groupBy("incident_id").agg(F.min("alert_id").alias("alert_id"))
 
 
 @query("jn11_domain_profile", f"WITH {C}, h AS (SELECT DISTINCT lower(regexp_extract(canonical_url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM c), p AS (SELECT DISTINCT unnest(allowed_domains) AS domain FROM sources) SELECT host, arg_max(domain, length(domain)) AS domain FROM h JOIN p ON host = domain OR ends_with(host, '.' || domain) GROUP BY host")
@@ -274,12 +275,6 @@ def _(s, d):
     return t.alerts(s, d).join(named, "web_source", "left").select("alert_id", F.coalesce(F.nullif("country_source", F.lit("")), "_c", F.lit("unknown")).alias("country"))
 
 
-@query("jn22_unknown_sources", "SELECT DISTINCT web_source FROM alerts WHERE web_source NOT IN (SELECT source_name FROM sources)")
-def _(s, d):
-    names = t.sources(s, d).select(F.col("source_name").alias("web_source"))
-    return table(s, d, "alerts").select("web_source").distinct().join(names, "web_source", "left_anti")
-
-
 @query("se01_ordered_union", f"WITH {I}, u AS (SELECT incident_id, coalesce(confidence_reasons, []) || coalesce(processing_errors, []) AS l FROM i) SELECT incident_id, array_to_string(list_filter(l, lambda x, k: list_position(l, x) = k), ';') AS items FROM u")
 def _(s, d):
     none = F.array().cast("array<string>")

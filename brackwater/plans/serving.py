@@ -78,7 +78,7 @@ def _(s, d):
 
 @query("fl01_alert_facets", f"WITH {A} SELECT alert_id, strftime(recall_date, '%Y-%m-%d') AS recall_date FROM a WHERE risk_level = 'High' AND country_source = 'Poland'")
 def _(s, d):
-    a = t.alerts(s, d).filter((F.col("risk_level") == "High") & (F.col("country_source") == "Poland"))
+    a = t.alerts(s, d, (F.col("risk_level") == "High") & (F.col("country_source") == "Poland"))
     return a.select("alert_id", day("recall_date").alias("recall_date"))
 
 
@@ -86,12 +86,12 @@ def _(s, d):
 def _(s, d):
     values = F.concat(F.array(*SEARCHED), F.coalesce("affected_regions", F.array().cast("array<string>")))
     joined = F.lower(F.array_join(F.filter(values, lambda x: x != ""), " "))
-    return t.alerts(s, d).filter(F.contains(joined, F.lit("histamine"))).select("alert_id")
+    return t.alerts(s, d, F.contains(joined, F.lit("histamine"))).select("alert_id")
 
 
 @query("fl04_incident_filter", f"WITH {I} SELECT incident_id, confidence_score FROM i WHERE verification_status = 'pending' AND confidence_score >= 60 AND lower(country) = 'poland' AND source_kind IN ('major_news', 'blog')")
 def _(s, d):
-    i = t.incidents(s, d).filter("verification_status = 'pending' AND confidence_score >= 60 AND lower(country) = 'poland' AND source_kind IN ('major_news', 'blog')")
+    i = t.incidents(s, d, "verification_status = 'pending' AND confidence_score >= 60 AND lower(country) = 'poland' AND source_kind IN ('major_news', 'blog')")
     return i.select("incident_id", "confidence_score")
 
 
@@ -106,7 +106,7 @@ def effective_date():
 @query("fl05_incident_search", f"WITH {I} SELECT incident_id, strftime({_EFFECTIVE}, '%Y-%m-%d') AS effective FROM i WHERE contains(lower(concat_ws(' ', coalesce(product_name, ''), coalesce(company_name, ''), coalesce(summary, ''), coalesce(incident_reason, ''))), 'dairy')")
 def _(s, d):
     joined = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("product_name", "company_name", "summary", "incident_reason"))))
-    return t.incidents(s, d).filter(F.contains(joined, F.lit("dairy"))).select("incident_id", day(effective_date()).alias("effective"))
+    return t.incidents(s, d, F.contains(joined, F.lit("dairy"))).select("incident_id", day(effective_date()).alias("effective"))
 
 
 @query("fl07_effective_date", f"WITH {I} SELECT incident_id, strftime({_EFFECTIVE}, '%Y-%m-%d') AS effective FROM i")
@@ -124,7 +124,7 @@ def _(s, d):
 
 @query("fl18_specific_products", f"WITH {I} SELECT incident_id FROM i WHERE trim(product_name) <> '' AND lower(trim(product_name)) NOT IN ({', '.join(repr(x) for x in text.VAGUE_PRODUCTS)}) AND length(product_name) - length(translate(product_name, ',;|', '')) < 4 AND len(string_split(lower(product_name), ' and ')) - 1 < 4")
 def _(s, d):
-    return t.incidents(s, d).filter(text.specific_product(F.col("product_name"))).select("incident_id")
+    return t.incidents(s, d, text.specific_product(F.col("product_name"))).select("incident_id")
 
 
 @query("fl22_status_of_decision", f"WITH {C} SELECT candidate_id, CASE decision WHEN 'reject' THEN 'rejected' WHEN 'accept' THEN 'accepted' ELSE 'discovered' END AS status FROM c")
@@ -202,7 +202,7 @@ def _(s, d):
 
 @query("ag09_mean_coordinates", f"WITH {A} SELECT country_source, round(avg(latitude), 6) AS lat, round(avg(longitude), 6) AS lon FROM a WHERE latitude <> 0 AND longitude <> 0 GROUP BY 1")
 def _(s, d):
-    a = t.alerts(s, d).filter("latitude <> 0 AND longitude <> 0")
+    a = t.alerts(s, d, "latitude <> 0 AND longitude <> 0")
     return a.groupBy("country_source").agg(F.round(F.avg("latitude"), 6).alias("lat"), F.round(F.avg("longitude"), 6).alias("lon"))
 
 
@@ -225,12 +225,6 @@ def _(s, d):
     return table(s, d, "alerts").agg(F.greatest(F.lit(1), F.ceil(F.countDistinct("alert_id") / 10)).cast("bigint").alias("pages"))
 
 
-@query("so01_confidence_high", f"WITH {I} SELECT incident_id, confidence_score FROM i ORDER BY confidence_score DESC NULLS LAST, {_EFFECTIVE} DESC, incident_id DESC LIMIT 100")
-def _(s, d):
-    i = t.incidents(s, d).select("incident_id", "confidence_score", effective_date().alias("e"))
-    return i.orderBy(F.desc_nulls_last("confidence_score"), F.desc("e"), F.desc("incident_id")).limit(100).select("incident_id", "confidence_score")
-
-
 @query("so08_page_3", f"WITH {A} SELECT alert_id FROM a ORDER BY recall_date DESC NULLS LAST, alert_id LIMIT 10 OFFSET 20")
 def _(s, d):
     return t.alerts(s, d).select("alert_id", "recall_date").orderBy(F.desc_nulls_last("recall_date"), "alert_id").offset(20).limit(10).select("alert_id")
@@ -247,13 +241,6 @@ def _(s, d):
     return upsert.retain_newest(t.events(s, d).select("ts", "event_id"), ["ts", "event_id"], 5000).select("event_id")
 
 
-@query("sk15_document", f"WITH {A} SELECT alert_id, md5(concat_ws(chr(10), 'Product: ' || coalesce(nullif(product_name, ''), 'unspecified'), 'Hazard: ' || coalesce(nullif(hazard_type, ''), 'unspecified'), 'Risk: ' || coalesce(nullif(risk_level, ''), 'unspecified'), 'Summary: ' || coalesce(nullif(summary, ''), 'unspecified'))) AS document FROM a")
-def _(s, d):
-    line = lambda n, c: F.concat(F.lit(f"{n}: "), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unspecified")))
-    doc = F.concat_ws("\n", line("Product", "product_name"), line("Hazard", "hazard_type"), line("Risk", "risk_level"), line("Summary", "summary"))
-    return t.alerts(s, d).select("alert_id", F.md5(doc).alias("document"))
-
-
 @query("st02_observations", f"SELECT candidate_id, {MOMENT.format('min(first_seen_at)')} AS first_seen, {MOMENT.format('max(last_seen_at)')} AS last_seen, max(attempt_count) AS attempts, arg_max(decision, CASE decision WHEN 'accept' THEN 2 WHEN 'borderline' THEN 1 WHEN 'reject' THEN 0 ELSE -1 END) AS decision FROM candidates GROUP BY 1")
 def _(s, d):
     m = upsert.merge_observations(table(s, d, "candidates"))
@@ -296,8 +283,21 @@ def _(s, d):
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "total")
 
 
+@query("st13_debounced", "WITH g AS (SELECT event_type, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) < 300000 THEN 0 ELSE 1 END AS fresh FROM events) SELECT event_type, sum(fresh)::bigint AS refreshes, count(*) AS notices FROM g GROUP BY 1")
+def _(s, d):
+    """Notices that follow each other within 300 ms make one refresh."""
+    g = t.events(s, d).groupBy("event_type", F.session_window("ts", "300 milliseconds")).agg(F.count("*").alias("n"))
+    return g.groupBy("event_type").agg(F.count("*").alias("refreshes"), F.sum("n").alias("notices"))
+
+
 @query("st13_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, k::bigint AS session_no, count(*) AS n FROM n GROUP BY ALL")
 def _(s, d):
     g = t.events(s, d).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("user_id").orderBy("w.start")
     return g.select("user_id", F.row_number().over(order).cast("bigint").alias("session_no"), "n")
+
+
+@query("st13_backoff", f"WITH {C} SELECT candidate_id, least(power(2, greatest(attempt_count, 0)), 30)::bigint AS seconds FROM c")
+def _(s, d):
+    """Seconds before the next connection: doubled with each attempt, from 1 to 30."""
+    return t.candidates(s, d).select("candidate_id", F.least(F.pow(F.lit(2), F.greatest("attempt_count", F.lit(0))), F.lit(30)).cast("bigint").alias("seconds"))

@@ -109,7 +109,7 @@ def _(s, d):
 @query("dt02_structured_date", f"WITH {I}, x AS (SELECT incident_id, trim(publication_date) AS w FROM i) SELECT incident_id, strftime(CASE WHEN regexp_matches(w, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN try_strptime(w[1:10], '%Y-%m-%d') WHEN regexp_matches(w, '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$') THEN try_strptime(w, '%d.%m.%Y') END, '%Y-%m-%d') AS day FROM x WHERE regexp_matches(w, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') OR regexp_matches(w, '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$')")
 def _(s, d):
     w = F.trim("publication_date")
-    x = t.incidents(s, d).filter(w.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$") | w.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"))
+    x = t.incidents(s, d, w.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$") | w.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"))
     return x.select("incident_id", day(F.get(dates.structured_dates(F.col("publication_date"), F.lit("2100-01-01").cast("date")), F.lit(0))).alias("day"))
 
 
@@ -141,7 +141,7 @@ _ISO_ONLY = f"WITH {I}, x AS (SELECT incident_id, CASE WHEN regexp_matches(trim(
 
 
 def _iso_only(s, d):
-    return t.incidents(s, d).filter(F.trim("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")).select("incident_id").join(dated_incidents(s, d), "incident_id")
+    return t.incidents(s, d, F.trim("publication_date").rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")).select("incident_id").join(dated_incidents(s, d), "incident_id")
 
 
 @query("dt05_recent_date", f"{_ISO_ONLY} SELECT incident_id, strftime(CASE WHEN p BETWEEN DATE '{AS_OF}' - 400 AND DATE '{AS_OF}' THEN p WHEN f BETWEEN DATE '{AS_OF}' - 400 AND DATE '{AS_OF}' THEN f END, '%Y-%m-%d') AS day FROM x")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackwater.operators.upsert import last_per_key
 from brackwater.runtime import table
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "alerts").drop("received_at").dropDuplicates(["alert_id"])
+def alerts(spark: SparkSession, sf_dir: str, where: Column | str | None = None) -> DataFrame:
+    """Each alert once.  Repeats are exact copies, so ``where`` is applied before they are removed and reaches the scan."""
+    held = table(spark, sf_dir, "alerts").drop("received_at")
+    return (held if where is None else held.filter(where)).dropDuplicates(["alert_id"])
 
 
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "incidents").dropDuplicates(["incident_id"])
+def incidents(spark: SparkSession, sf_dir: str, where: Column | str | None = None) -> DataFrame:
+    """Each incident once; ``where`` as in :func:`alerts`."""
+    held = table(spark, sf_dir, "incidents")
+    return (held if where is None else held.filter(where)).dropDuplicates(["incident_id"])
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

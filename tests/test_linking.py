@@ -27,8 +27,8 @@ def test_canonical_address(value, want):
 
 def test_classes_use_all_addresses_titles_and_hashes(spark, tmp_path):
     rows = [
-        ("a", "https://s.test/one", [("https://s.test/x", "Waitrose & Café", " AB ", None)]),
-        ("b", None, [("https://other.test/", "WAITROSE and cafe", "ab", ["https://S.test:443/one/?ref=f", None])]),
+        ("a", "https://s.test/one", [("https://s.test/x", "Miller & Café", " AB ", None)]),
+        ("b", None, [("https://other.test/", "MILLER and cafe", "ab", ["https://S.test:443/one/?ref=f", None])]),
         ("c", "https://s.test/two", [("https://s.test//one#top", "", "", [])]),
         ("c", "https://s.test/two", [("https://s.test//one#top", "", "", [])]),
         ("d", "not an address", None),
@@ -47,7 +47,7 @@ def test_entity_links_follow_all_legs(spark, tmp_path):
         # company and hazard; a single company word alone is not enough
         ("b1", "Milk", "Big & Farm", "Microbial", "2024-03-01"), ("b2", "Cream", "Big and Farm Ltd", "microbial", "2024-03-08"), ("b3", "Cheese", "Big", "microbial", "2024-03-01"),
         # a single company word beside a matching product; missing dates
-        ("c1", "Rye loaf", "Waitrose", "", None), ("c2", "Rye loaf", "Waitrose & Partners", "spoilage", "2020-01-01"), ("c3", "Rye loaf", None, "spoilage", None),
+        ("c1", "Rye loaf", "Miller", "", None), ("c2", "Rye loaf", "Miller & Partners", "spoilage", "2020-01-01"), ("c3", "Rye loaf", None, "spoilage", None),
         # hazard alone, blank names
         ("d1", "", None, "spoilage", "2020-01-01"), ("d2", "?", "", "spoilage", "2020-01-01"),
     ]
