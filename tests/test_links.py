@@ -32,7 +32,7 @@ def test_neighbours_against_brute_force(spark):
 def test_keywords_and_fragments(spark):
     parts = urls.path_parts(F.col("u"))
     df = spark.createDataFrame([("https://a.test/___p/x/y",), ("https://a.test/one",), (None,)], "u string")
-    assert [r.f for r in df.select(pages.fragments(parts).alias("f")).collect()] == [["/___p/", "/___p/x/", "/x/"], ["/one/"], None]
+    assert [r.f for r in df.select(pages.fragments(parts).alias("f")).collect()] == [["/___p/", "/___p/x/", "/x/"], ["/one/"], []]
     rows = [("s", f"https://a.test/recalls/{i}000/x") for i in range(3)] + [("s", "https://a.test/static/9999/y"), ("e", "https://a.test/")]
     got = [r.fragment for r in links.inferred_keywords(spark.createDataFrame(rows, "source string, url string")).orderBy("rank").collect()]
     assert got == ["/recalls/"]

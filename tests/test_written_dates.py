@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from brackwater.functions import dates
 
 D = dt.date
-REF = F.lit("2025-06-30").cast("date")
+def REF():
+    return F.lit("2025-06-30").cast("date")
 
 
 def _one(spark, value, expression):
@@ -23,25 +24,25 @@ def _one(spark, value, expression):
     ("", []), (None, None),
 ])
 def test_dates_in_texts(spark, value, want):
-    got = _one(spark, value, lambda c: dates.text_dates(c, REF))
+    got = _one(spark, value, lambda c: dates.text_dates(c, REF()))
     assert got is None if want is None else sorted(got) == sorted(want)
 
 
 def test_markers_hide_what_follows(spark):
     value = "Best before 2024-01-05. " + "x" * 100 + " Published 2024-02-06, again 2024-01-05"
-    assert _one(spark, value, lambda c: dates.text_dates(c, REF, dates.EXCLUDING)) == [D(2024, 2, 6)]
+    assert _one(spark, value, lambda c: dates.text_dates(c, REF(), dates.EXCLUDING)) == [D(2024, 2, 6)]
 
 
 @pytest.mark.parametrize("value,want", [
     ("2024-05-06T23:30:00-08:00", [D(2024, 5, 6)]), ("06.05.2024", [D(2024, 5, 6)]), ("06/05/2024", [D(2024, 5, 6), D(2024, 6, 5)]), ("5 May 2024", [D(2024, 5, 5)]), ("soon", []),
 ])
 def test_structured(spark, value, want):
-    assert _one(spark, value, lambda c: dates.structured_dates(c, REF)) == want
+    assert _one(spark, value, lambda c: dates.structured_dates(c, REF())) == want
 
 
 def test_choice_follows_trust_then_order(spark):
     found = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(d).cast("date").alias("day")) for s, d in (("generic", "2025-06-29"), ("structured", "2025-07-09"), ("selector", "2025-06-01"), ("structured", "2024-01-01"))))
-    row = spark.range(1).select(dates.best_date(found, REF).alias("a"), dates.best_date(found, REF, 100).alias("b"), dates.best_date(F.slice(found, 2, 1), REF).alias("c")).first()
+    row = spark.range(1).select(dates.best_date(found, REF()).alias("a"), dates.best_date(found, REF(), 100).alias("b"), dates.best_date(F.slice(found, 2, 1), REF()).alias("c")).first()
     assert row.a.day == D(2024, 1, 1) and row.b.day == D(2025, 6, 1) and row.c is None
 
 
