@@ -59,22 +59,23 @@ def sentence_count(c: Column) -> Column:
 
 
 def specific_product(c: Column) -> Column:
-    """A concrete product name: not blank, vague or a list."""
-    tidy = F.lower(collapse(c))
+    """A concrete product name, cleaned as a heading: not blank, vague or a list."""
+    c = header(c)
+    tidy = F.lower(c)
     marks = F.length(c) - F.length(F.translate(c, ",;|", ""))
     ands = F.size(F.split(tidy, " and ")) - 1
     return F.coalesce((tidy != "") & ~tidy.isin(*VAGUE_PRODUCTS) & (marks < 4) & (ands < 4), F.lit(False))
 
 
 def header(c: Column, most: int = 160) -> Column:
-    """A heading: white space collapsed, outer punctuation trimmed, blank if longer than ``most``."""
-    tidy = F.regexp_replace(collapse(c), r"^[\s.,;:|-]+|[\s.,;:|-]+$", "")
-    return F.when(F.length(tidy) > most, "").otherwise(tidy)
+    """A heading: white space collapsed, outer dashes, bars, colons and quotes trimmed; blank if longer than ``most`` or JSON."""
+    tidy = F.regexp_replace(collapse(c), "^[-–—|:;\"'\\s]+|[-–—|:;\"'\\s]+$", "")
+    return F.when((F.length(tidy) > most) | tidy.rlike(r"^[{\[]"), "").otherwise(tidy)
 
 
 def place(c: Column) -> Column:
-    """A place in lower case, everything but ASCII letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    """A place in lower case without accents, everything but ASCII letters and digits as single spaces."""
+    return F.trim(F.regexp_replace(folded(F.replace(c, F.lit("&"), F.lit(" "))), "[^a-z0-9]+", " "))
 
 
 def bounded_score(c: Column) -> Column:

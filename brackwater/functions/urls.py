@@ -89,7 +89,7 @@ def scraper(u: pd.Series) -> pd.Series:
 
 
 #: Query keys and key prefix dropped by the strict form.
-STRICT_KEYS = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src")
+STRICT_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "ref", "ref_src")
 STRICT_PREFIX = "utm_"
 
 

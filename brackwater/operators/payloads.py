@@ -26,7 +26,8 @@ NAME_POINTS = (
 )
 #: Fields that a structured record must have, and defaults of a record made without a model.
 REQUIRED = (
-    "product_name", "recall_reason", "summary", "recall_date", "hazard_type", "consumer_action", "source_url", "country_source", "web_source", "affected_regions",
+    "product_name", "product_category", "recall_reason", "summary", "recall_date", "risk_level", "hazard_type", "consumer_action", "source_url",
+    "batch_id", "country_source", "affected_regions",
 )
 DEFAULTS = {
     "product_category": "Other", "recall_reason": "Recall reason unavailable", "risk_level": "Unknown", "hazard_type": "Unknown",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brackwater.functions import ids, scoring, text, urls
 from brackwater.operators import linkage, merge
 from brackwater.plans import linking
-from brackwater.plans.serving import A, AS_OF, C, I, MOMENT, _EFFECTIVE, _WEIGHT, day, effective_date, moment
+from brackwater.plans.serving import A, AS_OF, C, HEADER_SQL, I, MOMENT, _EFFECTIVE, _WEIGHT, day, effective_date, moment
 from brackwater.runtime import table
 from brackwater.sources import tables as t
 
@@ -297,7 +297,7 @@ def _(s, d):
     return c.join(evidence.unionByName(before).distinct(), "h", "left_semi").select("candidate_id")
 
 
-@query("jn13_place_alias", f"WITH {I}, p AS (SELECT DISTINCT trim(regexp_replace(lower(country), '[^a-z0-9]+', ' ', 'g')) AS place FROM i WHERE country IS NOT NULL), s AS (SELECT DISTINCT country_source AS c, trim(regexp_replace(lower(country_source), '[^a-z0-9]+', ' ', 'g')) AS alias FROM sources) SELECT DISTINCT p.place, s.c FROM p JOIN s ON p.place = s.alias OR (length(s.alias) > 3 AND contains(' ' || p.place || ' ', ' ' || s.alias || ' '))")
+@query("jn13_place_alias", f"WITH {I}, p AS (SELECT DISTINCT trim(regexp_replace(lower(strip_accents(country)), '[^a-z0-9]+', ' ', 'g')) AS place FROM i WHERE country IS NOT NULL), s AS (SELECT DISTINCT country_source AS c, trim(regexp_replace(lower(strip_accents(country_source)), '[^a-z0-9]+', ' ', 'g')) AS alias FROM sources) SELECT DISTINCT p.place, s.c FROM p JOIN s ON p.place = s.alias OR (length(s.alias) > 3 AND contains(' ' || p.place || ' ', ' ' || s.alias || ' '))")
 def _(s, d):
     """Places that name a source's country, alone or as whole words; both sides are distinct names."""
     p = t.incidents(s, d, "country IS NOT NULL").select(text.place(F.col("country")).alias("place")).distinct()
@@ -451,12 +451,12 @@ def _(s, d):
     return t.incidents(s, d).select("incident_id", n.alias("n"), text.confidence_label(n).alias("label"))
 
 
-@query("tx09_headers", f"WITH {C}, x AS (SELECT candidate_id, regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '^[\\s.,;:|-]+|[\\s.,;:|-]+$', '', 'g') AS h FROM c) SELECT candidate_id, CASE WHEN length(h) > 160 THEN '' ELSE h END AS header FROM x")
+@query("tx09_headers", f"WITH {C}, x AS (SELECT candidate_id, {HEADER_SQL.format('title')} AS h FROM c) SELECT candidate_id, CASE WHEN length(h) > 160 OR h[1:1] IN ('{{', '[') THEN '' ELSE h END AS header FROM x")
 def _(s, d):
     return t.candidates(s, d).select("candidate_id", text.header(F.col("title")).alias("header"))
 
 
-@query("tx10_places", f"WITH {I} SELECT incident_id, trim(regexp_replace(lower(country), '[^a-z0-9]+', ' ', 'g')) AS place FROM i")
+@query("tx10_places", f"WITH {I} SELECT incident_id, coalesce(trim(regexp_replace(lower(strip_accents(country)), '[^a-z0-9]+', ' ', 'g')), '') AS place FROM i")
 def _(s, d):
     return t.incidents(s, d).select("incident_id", text.place(F.col("country")).alias("place"))
 

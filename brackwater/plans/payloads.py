@@ -95,7 +95,9 @@ def _(s, d):
     )
 
 
-_ROW = ("product_name", "recall_reason", "summary", "recall_date", "hazard_type", "consumer_action", "source_url", "country_source", "web_source", "affected_regions")
+_ROW = payloads.REQUIRED
+#: Fields that must hold text before a record becomes an alert.
+_TEXTS = ("web_source", "country_source", "product_name", "recall_reason", "summary", "hazard_type", "consumer_action", "source_url")
 
 
 @query("se04_missing_fields", f"WITH {A}, m AS (SELECT alert_id, [{', '.join(f'''CASE WHEN {c} IS NULL THEN '{c}' END''' for c in sorted(_ROW))}] AS l FROM a) SELECT alert_id, array_to_string(list_filter(l, lambda x: x IS NOT NULL), ',') AS missing FROM m WHERE len(list_filter(l, lambda x: x IS NOT NULL)) > 0")
@@ -108,8 +110,9 @@ def _(s, d):
 def _(s, d):
     """Records with all required fields, blanks of optional ones filled."""
     a = t.alerts(s, d)
-    for c in _ROW:
-        a = a.filter(F.col(c).isNotNull() if c in ("recall_date", "affected_regions") else F.trim(c) != "")
+    for c in _TEXTS:
+        a = a.filter(F.trim(c) != "")
+    a = a.filter("recall_date IS NOT NULL AND affected_regions IS NOT NULL")
     fill = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(payloads.DEFAULTS[c])).alias(c)
     return a.select("alert_id", F.trim("product_name").alias("product_name"), fill("product_category"), fill("risk_level"), F.date_format("recall_date", "yyyy-MM-dd").alias("recall_date"))
 
@@ -120,13 +123,19 @@ def _(s, d):
     return leaves(s, d).filter(payloads.is_address(F.col("value"))).groupBy("rec_id").agg(F.countDistinct("value").alias("addresses"))
 
 
-#: Other names under which models write the keys of a record.
-ALIASES = {"product": "product_name", "title": "product_name", "company": "company_name", "hazard": "hazard_type", "reason": "recall_reason"}
+#: Other names, in order, under which models write the kind of content.
+KIND_NAMES = ("type", "classification", "category", "label")
 
 
-@query("js04_aliased_keys", f"WITH {_TREE}, k AS (SELECT DISTINCT rec_id, lower(regexp_extract(path, '([A-Za-z@_]+)(\\[[0-9]+\\])?$', 1)) AS key FROM t) SELECT rec_id, coalesce(map([{', '.join(map(repr, ALIASES))}], [{', '.join(map(repr, ALIASES.values()))}])[key], key) AS key, count(*) AS n FROM k GROUP BY ALL")
+@query("js04_content_type", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'given' ELSE NULL END AS content_type FROM events")
 def _(s, d):
-    names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
-    key = F.lower(F.regexp_extract("path", r"([A-Za-z@_]+)(\[[0-9]+\])?$", 1))
-    k = leaves(s, d).select("rec_id", key.alias("key")).distinct()
-    return k.select("rec_id", F.coalesce(F.try_element_at(names, F.col("key")), "key").alias("key")).groupBy("rec_id", "key").agg(F.count("*").alias("n"))
+    """The kind of content under its own name, else under the first other name that a reply has.
+
+    The replies are built from the run log: one names it ``type``, one gives both, one has neither.
+    """
+    e = t.events(s, d)
+    reply = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("label"), F.lit("late"), F.lit("type"), "event_type")).when(
+        F.col("event_id") % 3 == 1, F.create_map(F.lit("type"), "event_type", F.lit("content_type"), F.lit("given"))
+    ).otherwise(F.create_map(F.lit("other"), "event_type"))
+    named = F.coalesce(*(F.try_element_at("reply", F.lit(k)) for k in ("content_type", *KIND_NAMES)))
+    return e.select("event_id", reply.alias("reply")).select("event_id", named.alias("content_type"))

@@ -122,7 +122,11 @@ def _(s, d):
     return t.candidates(s, d).filter(~done & ~spent & due).select("candidate_id")
 
 
-@query("fl18_specific_products", f"WITH {I} SELECT incident_id FROM i WHERE trim(product_name) <> '' AND lower(trim(product_name)) NOT IN ({', '.join(repr(x) for x in text.VAGUE_PRODUCTS)}) AND length(product_name) - length(translate(product_name, ',;|', '')) < 4 AND len(string_split(lower(product_name), ' and ')) - 1 < 4")
+#: A heading as text.header writes it, but for its length.
+HEADER_SQL = "regexp_replace(trim(regexp_replace({}, '[ \\t\\n\\f\\r]+', ' ', 'g')), '^[-–—|:;\"\'\'\\s]+|[-–—|:;\"\'\'\\s]+$', '', 'g')"
+
+
+@query("fl18_specific_products", f"WITH {I}, x AS (SELECT incident_id, {HEADER_SQL.format('product_name')} AS h FROM i) SELECT incident_id FROM x WHERE h <> '' AND length(h) <= 160 AND h[1:1] NOT IN ('{{', '[') AND lower(h) NOT IN ({', '.join(repr(x) for x in text.VAGUE_PRODUCTS)}) AND length(h) - length(translate(h, ',;|', '')) < 4 AND len(string_split(lower(h), ' and ')) - 1 < 4")
 def _(s, d):
     return t.incidents(s, d, text.specific_product(F.col("product_name"))).select("incident_id")
 

@@ -22,7 +22,8 @@ def _one(spark, value, expression):
     ("ftp://hof.test/x", urls.strict, None),
     ("Hof & Gärten Ünïcode", text.folded, "hof and garten unicode"),
     ("&lt;b&gt;x&lt;/b&gt; &eacute;t&eacute;&nbsp;!", text.strip_markup, "x été !"),
-    (" - A  title: ", text.header, "A title"),
+    (" – A  title: ", text.header, "A title"),
+    ("[1, 2]", text.header, ""),
     ("Great-Britain (North)", text.place, "great britain north"),
     ("<p>a &amp; b</p>\n c", text.strip_markup, "a & b c"),
     ("One. Two! Three?", text.sentence_count, 3),
