@@ -21,6 +21,8 @@ broadcast, a site's records are salted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -156,19 +158,18 @@ def _frequent(counted: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def _candidates(records: DataFrame, bands: int, broadcast_numbers: int) -> tuple[DataFrame, DataFrame]:
-    """Records with the lines (pos, key, bucket) of which at least ``bands`` bands lie in frequent buckets, and each site's threshold."""
+    """(tbl, site, rec_id, line_no, key, cluster) of the lines of which at least ``bands`` bands lie in frequent buckets; each site's threshold."""
     # A null-safe copy of the site keeps records without one together.
     signed = stored(signatures(records).withColumn("site", F.coalesce("site", F.lit(""))), "signatures")
     least = signed.groupBy("tbl", "site").agg(F.greatest(F.lit(LEAST_RECORDS), F.ceil(F.count("*") * LEAST_SHARE - 1e-9)).alias("least"))
     own = F.array_remove(F.array_distinct(F.flatten(F.array(*(F.col(f"b{i}") for i in range(BANDS))))), 0)
     frequent = _frequent(signed.select("tbl", "site", F.explode(own).alias("number")), least)
     met = _at_sites(signed, frequent, broadcast_numbers).withColumn("met", F.array_intersect(own, "held")).filter(F.size("met") > 0)
-    number = F.arrays_zip(F.sequence(F.lit(1), F.size("keys")).alias("pos"), F.col("keys").alias("key"), *(F.col(f"b{i}") for i in range(BANDS)))
-    shared = lambda x: sum((F.array_contains("met", x[f"b{i}"]).cast("int") for i in range(BANDS)), F.lit(0))
-    bucket = lambda x: F.array_min(F.array_intersect(F.array(*(x[f"b{i}"] for i in range(BANDS))), F.col("met")))
-    lines = F.filter(number, lambda x: (x["key"] != 0) & (shared(x) >= bands))
-    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["key"].alias("key"), bucket(x).alias("bucket")))
-    return met.select("tbl", "site", "rec_id", lines.alias("lines")).filter(F.size("lines") > 0), least
+    lines = met.select("tbl", "site", "rec_id", "met", F.posexplode(F.arrays_zip("keys", *(f"b{i}" for i in range(BANDS)))).alias("pos", "x")).filter("x.keys <> 0")
+    inside = [F.array_contains("met", F.col(f"x.b{i}")) for i in range(BANDS)]
+    kept = lines.filter(reduce(or_, inside) if bands == 1 else reduce(add, (c.cast("int") for c in inside)) >= bands)
+    bucket = F.array_min(F.array_compact(F.array(*(F.when(c, F.col(f"x.b{i}")) for i, c in enumerate(inside)))))
+    return kept.select("tbl", "site", "rec_id", (F.col("pos") + 1).alias("line_no"), F.col("x.keys").alias("key"), bucket.alias("cluster")), least
 
 
 def repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
@@ -181,13 +182,17 @@ def repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_NUMBER
     a site of its own; redelivered keys count once; an empty table gives an
     empty result.
     """
+    where = ["tbl", "site", "key"]
     found, least = _candidates(records, 1, broadcast_numbers)
-    candidates = stored(found, "candidates")
-    keys = F.array_distinct("lines.key")
-    confirmed = _frequent(candidates.select("tbl", "site", F.explode(keys).alias("number")), least)
-    met = _at_sites(candidates, confirmed, broadcast_numbers).withColumn("met", F.array_intersect(keys, "held"))
-    kept = F.filter("lines", lambda x: F.array_contains("met", x["key"]))
-    return met.select("tbl", "site", "rec_id", F.explode(kept).alias("x")).select("tbl", "site", "rec_id", F.col("x.pos").alias("line_no"))
+    candidates = stored(found.drop("cluster"), "candidates")
+    held = candidates.select("tbl", "site", "rec_id", F.col("key").alias("number")).distinct()
+    confirmed = stored(_frequent(held, least).withColumnRenamed("number", "key"), "confirmed")
+    if confirmed.count() <= broadcast_numbers:
+        met = candidates.join(F.broadcast(confirmed), where, "left_semi")
+    else:
+        salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = candidates.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALTS)).cast("int")).join(salted, [*where, "salt"], "left_semi")
+    return met.select("tbl", "site", "rec_id", "line_no")
 
 
 def near_repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
@@ -197,7 +202,7 @@ def near_repeated_lines(records: DataFrame, broadcast_numbers: int = BROADCAST_N
     ``letters`` should be made from text :func:`without_names`.
     """
     found, _ = _candidates(records, NEAR_BANDS, broadcast_numbers)
-    return found.select("tbl", "site", "rec_id", F.explode("lines").alias("x")).select("tbl", "site", "rec_id", F.col("x.pos").alias("line_no"), F.col("x.bucket").alias("cluster"))
+    return found.select("tbl", "site", "rec_id", "line_no", "cluster")
 
 
 def site_records(spark, sf_dir: str, names: bool = True) -> DataFrame:
