@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("tx02_title_fingerprint")
+@query("tx02_title_fingerprint", f"WITH {C}, n AS (SELECT candidate_id, array_to_string(regexp_extract_all(replace(lower(strip_accents(replace(coalesce(title, ''), '&', ' and '))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), ' ') AS k FROM c) SELECT candidate_id, CASE WHEN k <> '' THEN sha256(k) ELSE '' END AS fingerprint FROM n")
 def _(s, d):
     n = text.folded(F.col("title"))
     return t.candidates(s, d).select("candidate_id", F.when(n != "", F.sha2(n, 256)).otherwise("").alias("fingerprint"))
@@ -282,11 +282,28 @@ def _(s, d):
     return t.incidents(s, d).select("incident_id", F.array_join(F.array_compact(both), ";").alias("items"))
 
 
-@query("sc25_query_catalogue")
+def _text(x) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(map(_text, values)) + "]"
+
+
+_DIMS = ", ".join(f"({i}, {_text(c)}, {_text(n)}, {_list((n, *a))}, {_text(g)}, {_list(ds)}, {_list(searches.TERMS[g][0])}, {_list(searches.TERMS[g][1])})" for i, (c, n, a, g, ds) in enumerate(searches.COUNTRIES))
+_CATALOGUE = f"""dims(c_pos, country, name, names, language, domains, recall, more) AS (VALUES {_DIMS}),
+each AS (SELECT c_pos, country, language, NULL AS domain, recall[t] || ' ' || names[n] AS text, [0, n, t] AS o FROM (SELECT *, unnest(range(1, len(recall) + 1)) AS t FROM (SELECT *, unnest(range(1, len(names) + 1)) AS n FROM dims))
+  UNION ALL SELECT c_pos, country, language, NULL, more[t] || ' ' || name, [1, t, 0] FROM (SELECT *, unnest(range(1, len(more) + 1)) AS t FROM dims)
+  UNION ALL SELECT c_pos, country, language, domains[n], recall[t] || ' site:' || domains[n], [2, n, t] FROM (SELECT *, unnest([1, 2]) AS t FROM (SELECT *, unnest(range(1, len(domains) + 1)) AS n FROM dims))),
+once AS (SELECT c_pos, country, language, domain, text, min(o) AS o FROM each GROUP BY ALL), turn AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY o) AS turn FROM once),
+catalogue AS (SELECT row_number() OVER (ORDER BY turn, c_pos) - 1 AS pos, country, language, domain, text FROM turn)"""
+
+
+@query("sc25_query_catalogue", f"WITH {_CATALOGUE} SELECT pos::int AS pos, country, language, domain, text FROM catalogue")
 def _(s, d):
     return searches.catalogue(s)
 
 
-@query("wn02_query_rotation")
+@query("wn02_query_rotation", f"WITH {_CATALOGUE}, n AS (SELECT count(*) AS total FROM catalogue), x AS (SELECT ((pos - least(12, total)) % total + total) % total AS slot, country, text FROM catalogue, n) SELECT slot, country, text FROM x WHERE slot < 12")
 def _(s, d):
     return searches.rotated(searches.catalogue(s), 1, 12)

@@ -245,10 +245,10 @@ def _(s, d):
     return upsert.retain_newest(t.events(s, d).select("ts", "event_id"), ["ts", "event_id"], 5000).select("event_id")
 
 
-@query("st02_observations", f"SELECT candidate_id, {MOMENT.format('min(first_seen_at)')} AS first_seen, {MOMENT.format('max(last_seen_at)')} AS last_seen, max(attempt_count) AS attempts, arg_max(decision, CASE decision WHEN 'accept' THEN 2 WHEN 'borderline' THEN 1 WHEN 'reject' THEN 0 ELSE -1 END) AS decision FROM candidates GROUP BY 1")
+@query("st02_observations")
 def _(s, d):
     m = upsert.merge_observations(table(s, d, "candidates"))
-    return m.select("candidate_id", moment("first_seen_at").alias("first_seen"), moment("last_seen_at").alias("last_seen"), F.col("attempt_count").alias("attempts"), "decision")
+    return m.select("candidate_id", moment("first_seen_at").alias("first_seen"), moment("last_seen_at").alias("last_seen"), F.col("attempt_count").alias("attempts"), "decision", "processing_status")
 
 
 @query("st05_evidence_merged", "WITH e AS (SELECT DISTINCT lower(trim(cluster_fingerprint)) AS f, trim(e.url) AS u FROM (SELECT cluster_fingerprint, unnest(evidence) AS e FROM incidents) WHERE trim(cluster_fingerprint) <> '' AND trim(e.url) <> '') SELECT f, count(*) AS n, md5(string_agg(u, ' ' ORDER BY u)) AS urls FROM e GROUP BY f")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import ids, scoring, text, urls
 from brackwater.operators import linkage, searches, semantic, upsert
-from brackwater.streaming.candidates import hourly_counts, upsert_batches
+from brackwater.streaming.candidates import hourly_counts, read_store, upsert_batches
 
 
 def _one(spark, value, expression):
@@ -66,6 +66,24 @@ def test_upsert_keeps_id_and_is_idempotent(spark):
     assert sorted(map(tuple, upsert.last_per_key(once, ["url"], ["id"]).collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_observations_fold_in_order(spark):
+    shape = "candidate_id string, n int, attempt_count int, decision string, processing_status string, content_hash string, linked_incident_id string, query_ids array<string>"
+    rows = [
+        ("a", 1, 0, "borderline", "discovered", None, "", ["q1"]), ("a", 2, 0, "reject", "accepted", None, "i1", ["q2", "q1"]), ("a", 2, 0, "reject", "accepted", None, "i1", ["q2", "q1"]),
+        # More attempts: an update, so the weaker decision counts and the state follows.
+        ("b", 1, 0, "accept", "retryable", None, None, None), ("b", 2, 1, "reject", "accepted", "h", None, ["q"]),
+        # A retryable state waits for an update; a terminal one stays, and so does the stronger decision.
+        ("c", 1, 0, "reject", "retryable", None, None, None), ("c", 2, 0, "accept", "discovered", None, None, None),
+        ("d", 1, 0, "accept", "converted", "x", None, None), ("d", 2, 3, "reject", "discovered", "y", None, None),
+    ]
+    df = spark.createDataFrame(rows, shape).withColumn("last_seen_at", F.timestamp_seconds("n")).withColumn("first_seen_at", F.timestamp_seconds("n"))
+    got = {r.candidate_id: (r.decision, r.processing_status, r.attempt_count, r.content_hash, r.linked_incident_id, r.query_ids) for r in upsert.merge_observations(df).collect()}
+    assert got == {
+        "a": ("borderline", "accepted", 0, None, "i1", ["q1", "q2"]), "b": ("reject", "accepted", 1, "h", None, ["q"]),
+        "c": ("accept", "retryable", 0, None, None, None), "d": ("accept", "converted", 3, "x", None, None),
+    }
+
+
 def test_linkage(spark):
     keys = spark.createDataFrame([("a", "k"), ("b", "k"), ("c", "k"), ("d", "j"), ("a", "j"), ("e", None), ("f", "")], "id string, key string")
     assert {tuple(r) for r in linkage.smallest_partner(keys).collect()} == {("a", "b"), ("b", "a"), ("c", "a"), ("d", "a")}
@@ -105,4 +123,30 @@ def test_streams_equal_batch(spark, tmp_path):
     told = []
     q = stream.writeStream.foreachBatch(upsert_batches(str(tmp_path / "out"), ["k"], ["ts"], told.append)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(90)
-    assert spark.read.parquet(str(tmp_path / "out/v0")).count() == 5 and told == [5]
+    assert read_store(spark, str(tmp_path / "out"), "ts timestamp, event_type string, k string").count() == 5 and told == [5]
+
+
+def test_store_keeps_the_last_row_over_batches_and_replays(spark, tmp_path):
+    shape, path = "k string, n int", str(tmp_path / "store")
+    write = upsert_batches(path, ["k"], ["n"], parts=4)
+    first, second = [("a", 1), ("b", 5), ("c", 1)], [("a", 3), ("b", 2), ("d", 1), ("a", 2)]
+    got = lambda: sorted(tuple(r) for r in read_store(spark, path, shape).collect())
+    assert got() == []
+    write(spark.createDataFrame(first, shape), 0)
+    write(spark.createDataFrame(second, shape), 1)
+    want = [("a", 3), ("b", 5), ("c", 1), ("d", 1)]
+    assert got() == want
+    write(spark.createDataFrame(second, shape), 1)
+    write(spark.createDataFrame([], shape), 2)
+    assert got() == want
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    shape = "ts timestamp, event_type string"
+    for n, rows in enumerate(([("2024-01-01 10:10:00", "a")], [("2024-01-01 15:00:00", "a")], [("2024-01-01 15:10:00", "a")], [("2024-01-01 10:20:00", "a"), ("2024-01-01 15:30:00", "a")])):
+        spark.createDataFrame(rows, "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = hourly_counts(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    # The row of 10:20 arrives after the watermark has passed its hour.
+    assert [(str(r["window"].start), r.n) for r in spark.table("late").collect()] == [("2024-01-01 10:00:00", 1)]
