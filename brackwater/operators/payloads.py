@@ -145,3 +145,45 @@ def best_name(leaves: DataFrame) -> DataFrame:
 def missing_fields(stated: Column) -> Column:
     """Required fields that are not among the stated ones, in order."""
     return F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED)), stated))
+
+
+def _items(value) -> list:
+    """The list in one of the three envelopes of feeds."""
+    if isinstance(value, dict):
+        value = next((value[k] for k in ("results", "items") if isinstance(value.get(k), list)), None)
+    return value if isinstance(value, list) else []
+
+
+def envelope_items(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(rec_id, place, item): the items of a bare list or of ``results`` or ``items``; anything else gives nothing."""
+    def rows(text):
+        return [(i, json.dumps(x, ensure_ascii=False, sort_keys=True)) for i, x in enumerate(_items(_parsed(text)))]
+
+    return _walked(df, id_col, json_col, "rec_id string, place int, item string", rows)
+
+
+def bounded_items(df: DataFrame, id_col: str, json_col: str, field: str, most: int) -> DataFrame:
+    """(rec_id, place, item): the first ``most`` objects of a list field; entries that are no objects are passed over."""
+    def rows(text):
+        record = _parsed(text)
+        held = record.get(field) if isinstance(record, dict) else None
+        objects = [x for x in held if isinstance(x, dict)] if isinstance(held, list) else []
+        return [(i, json.dumps(x, ensure_ascii=False, sort_keys=True)) for i, x in enumerate(objects[:most])]
+
+    return _walked(df, id_col, json_col, "rec_id string, place int, item string", rows).distinct()
+
+
+def search_results(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(rec_id, rank, title, url, description) of a web-search reply; results without title or address are passed over."""
+    def rows(text):
+        reply = _parsed(text)
+        web = reply.get("web") if isinstance(reply, dict) else None
+        results = web.get("results") if isinstance(web, dict) else None
+        out = []
+        for rank, x in enumerate(results if isinstance(results, list) else [], 1):
+            title, url, told = (str(x.get(k) or "").strip() for k in ("title", "url", "description")) if isinstance(x, dict) else ("", "", "")
+            if title and url:
+                out.append((rank, title, url, told))
+        return out
+
+    return _walked(df, id_col, json_col, "rec_id string, rank int, title string, url string, description string", rows)

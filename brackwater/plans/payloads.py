@@ -139,3 +139,10 @@ def _(s, d):
     ).otherwise(F.create_map(F.lit("other"), "event_type"))
     named = F.coalesce(*(F.try_element_at("reply", F.lit(k)) for k in ("content_type", *KIND_NAMES)))
     return e.select("event_id", reply.alias("reply")).select("event_id", named.alias("content_type"))
+
+
+@query("sc17_search_results", f"WITH c AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY last_seen_at DESC, attempt_count DESC) = 1) SELECT candidate_id AS rec_id, 1 AS rank, trim(title) AS title, trim(canonical_url) AS url FROM c WHERE trim(coalesce(title, '')) <> '' AND trim(coalesce(canonical_url, '')) <> ''")
+def _(s, d):
+    """Search replies as rows; here each candidate as the reply that brought it."""
+    c = t.candidates(s, d).select("candidate_id", F.to_json(F.struct(F.struct(F.array(F.struct("title", F.col("canonical_url").alias("url"))).alias("results")).alias("web"))).alias("reply"))
+    return payloads.search_results(c, "candidate_id", "reply").select("rec_id", "rank", "title", "url")
