@@ -51,8 +51,8 @@ def _scan_block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -
     return rows.select("vec_id", "embedding").mapInArrow(scan, _SHAPE), shared
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, vec_id, rank): the ``k`` nearest other rows of each query vector, ties by smaller id.
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, scores: bool = False) -> DataFrame:
+    """(query_id, vec_id, rank): the ``k`` nearest other rows of each query vector, ties by smaller id; on demand with its ``score``.
 
     The stated queries come through the driver one block at a time.  Every task
     keeps the k best of each query of the block over all its rows; these bounded
@@ -81,7 +81,19 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) ->
     if part:
         flush()
     if empty:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, rank int")
+        return spark.createDataFrame([], "query_id bigint, vec_id bigint, rank int" + (", score double" if scores else ""))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = spark.read.schema(_SHAPE).parquet(path).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
+    return ranked.filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", *(["score"] if scores else []))
+
+
+def merge_decisions(near: DataFrame, labels: DataFrame, review: float, auto: float) -> DataFrame:
+    """(query_id, vec_id, decision) of each query with a neighbour of its own label at ``review`` or above.
+
+    ``near`` are ranked neighbours with scores, ``labels`` has vec_id and label.
+    The first such neighbour decides: merge from ``auto`` on, else review.
+    """
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    met = near.filter(F.col("score") >= review).join(own, "query_id").join(labels.select("vec_id", "label"), "vec_id").filter(F.col("own") == F.col("label"))
+    first = met.groupBy("query_id").agg(F.min(F.struct("rank", "vec_id", "score")).alias("m"))
+    return first.select("query_id", "m.vec_id", F.when(F.col("m.score") >= auto, "merge").otherwise("review").alias("decision"))

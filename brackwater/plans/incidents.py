@@ -277,11 +277,12 @@ def _(s, d):
 _NAMES = "list_sort(list_distinct(regexp_extract_all(lower(strip_accents(replace({}, '&', ' and '))), '[\\p{{L}}\\p{{N}}_]+')))"
 
 
-@query("jn07_contained_names", f"WITH {I}, n AS (SELECT DISTINCT {_NAMES.format('product_name')} AS w FROM i WHERE product_name IS NOT NULL), p AS (SELECT array_to_string(a.w, ' ') AS l, array_to_string(b.w, ' ') AS r FROM n a JOIN n b ON a.w <> b.w AND len(a.w) >= 2 AND list_has_all(b.w, a.w)) SELECT DISTINCT l, r FROM p")
+@query("jn07_contained_names", f"WITH x AS (SELECT product_name FROM incidents UNION SELECT product_name FROM alerts), n AS (SELECT DISTINCT {_NAMES.format('product_name')} AS w FROM x WHERE product_name IS NOT NULL), p AS (SELECT array_to_string(a.w, ' ') AS l, array_to_string(b.w, ' ') AS r FROM n a JOIN n b ON a.w <> b.w AND len(a.w) >= 2 AND list_has_all(b.w, a.w)) SELECT DISTINCT l, r FROM p")
 def _(s, d):
     """Distinct product names, as sorted words, of which one holds all words of the other."""
     words = F.array_sort(F.array_distinct(F.split(text.folded(F.col("product_name")), " ")))
-    n = t.incidents(s, d, "product_name IS NOT NULL").select(F.array_join(words, " ").alias("w")).filter("w <> ''").distinct()
+    every = table(s, d, "incidents").select("product_name").unionByName(table(s, d, "alerts").select("product_name")).filter("product_name IS NOT NULL").distinct()
+    n = every.select(F.array_join(words, " ").alias("w")).filter("w <> ''").distinct()
     n = n.select("w", F.split("w", " ").alias("tokens"))
     held = linkage.contains_tokens(n.filter(F.size("tokens") >= 2).withColumnRenamed("w", "a"), n.withColumnRenamed("w", "b"))
     return held.filter("a <> b").select(F.col("a").alias("l"), F.col("b").alias("r"))

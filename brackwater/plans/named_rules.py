@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from brackwater.functions import ids, text
-from brackwater.operators import links, payloads, searches, upsert
-from brackwater.plans import crawl, incidents, linking
+from brackwater.functions import ids, text, urls
+from brackwater.operators import links, pages_html, payloads, searches, upsert
+from brackwater.plans import crawl, fetched, incidents, linking
 from brackwater.plans import payloads as records
 from brackwater.plans.serving import A, I
 from brackwater.runtime import table
@@ -197,3 +197,61 @@ def _(s, d):
     three = table(s, d, "alerts").select("alert_id").distinct().orderBy("alert_id").limit(3).agg(F.to_json(F.collect_list(F.struct("alert_id"))).alias("l"))
     feeds = three.select(F.explode(F.map_from_arrays(F.array(F.lit("list"), F.lit("results"), F.lit("items")), F.array("l", F.concat(F.lit('{"results":'), "l", F.lit("}")), F.concat(F.lit('{"items":'), "l", F.lit("}"))))).alias("feed", "body"))
     return payloads.envelope_items(feeds, "feed", "body").groupBy(F.col("rec_id").alias("feed")).agg(F.count("*").alias("n"))
+
+
+@query("jn15_semantic_decisions", "WITH s AS (SELECT q.vec_id AS query_id, x.vec_id, q.label = x.label AS same, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) AS score FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), m AS (SELECT query_id, arg_min(vec_id, rank) AS vec_id, arg_min(score, rank) AS score FROM r WHERE rank <= 10 AND same AND score >= 0.3 GROUP BY 1) SELECT query_id, vec_id, CASE WHEN score >= 0.4 THEN 'merge' ELSE 'review' END AS decision FROM m")
+def _(s, d):
+    """The first near enough neighbour of the same kind; the label stands for the shared entity, and the thresholds fit these vectors."""
+    e = table(s, d, "embeddings")
+    near = linking.semantic.nearest(e.filter("vec_id % 20 = 0"), e, 10, scores=True)
+    return linking.semantic.merge_decisions(near, e, 0.3, 0.4)
+
+
+@query("so07_frontier", f"WITH {crawl._SCORES}, x AS (SELECT source, url, CASE WHEN contains(lower(url), 'recall') THEN 12 ELSE 0 END - CASE WHEN regexp_matches(lower(url), 'faq|support|privacy|contact|mentions-legales') THEN 4 ELSE 0 END AS points, len(parts) AS depth FROM scored) SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY points DESC, depth, url)::int AS place FROM x")
+def _(s, d):
+    """The order in which a crawl takes a source's links: points, then depth, then address."""
+    u = F.col("url")
+    x = crawl.source_links(s, d).withColumn("points", pages_html.crawl_points(u, F.array(F.lit("recall")))).withColumn("depth", F.size(urls.path_parts(u)))
+    return x.select("source", "url", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("points"), "depth", "url")).alias("place"))
+
+
+@query("ht02_content_root", f"WITH {fetched._U} SELECT url, false AS holds_menu FROM u")
+def _(s, d):
+    """The text comes from the main part: the menu beside it is not in it."""
+    return fetched.facts(s, d).select("url", F.contains("text", F.lit("All recalls")).alias("holds_menu"))
+
+
+@query("ht04_linked_dates", "SELECT DISTINCT field_recall_number AS url, trim(field_recall_date) AS date_value FROM us_recall WHERE field_recall_number IS NOT NULL AND trim(coalesce(field_recall_date, '')) <> ''")
+def _(s, d):
+    """Dates of a nested JSON-LD block."""
+    u = table(s, d, "us_recall").filter("field_recall_number IS NOT NULL").select("field_recall_number", F.coalesce("field_recall_date", F.lit("")).alias("d")).distinct()
+    block = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("d").alias("datePublished")).alias("about"))).alias("@graph")))
+    page = u.select("field_recall_number", F.concat(F.lit('<html><head><script type="application/LD+JSON">'), block, F.lit("</script></head></html>")).alias("html"))
+    return pages_html.page_facts(page, "field_recall_number", "html").select("url", F.explode("date_values").alias("date_value"))
+
+
+@query("st11_change_notices", "SELECT load_no, count(DISTINCT source_url) AS changed FROM alerts WHERE load_no > 0 AND source_url IS NOT NULL GROUP BY 1")
+def _(s, d):
+    """How many keys each load changed; a load without changes tells nobody."""
+    a = table(s, d, "alerts").filter("load_no > 0 AND source_url IS NOT NULL")
+    return a.groupBy("load_no").agg(F.countDistinct("source_url").alias("changed")).filter("changed > 0")
+
+
+@query("sk14_event_frames", "SELECT load_no, 'event: alerts-changed' || chr(10) || 'data: {\"count\": ' || count(DISTINCT source_url) || '}' || chr(10) || chr(10) AS frame FROM alerts WHERE load_no > 0 AND source_url IS NOT NULL GROUP BY 1")
+def _(s, d):
+    changed = QUERIES["st11_change_notices"](s, d)
+    return changed.select("load_no", F.concat(F.lit('event: alerts-changed\ndata: {"count": '), "changed", F.lit("}\n\n")).alias("frame"))
+
+
+@query("st12_keepalives", "WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT user_id, sum(gap // 30000000)::bigint AS keepalives FROM g WHERE gap IS NOT NULL GROUP BY 1")
+def _(s, d):
+    """A sign of life for each 30 seconds without an event."""
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    g = t.events(s, d).select("user_id", gap.alias("gap")).filter("gap IS NOT NULL")
+    return g.groupBy("user_id").agg(F.sum(F.expr("gap div 30000000")).alias("keepalives"))
+
+
+@query("st15_daily_runs", "SELECT DISTINCT strftime(ts - INTERVAL 3 HOUR, '%Y-%m-%d') AS run_day FROM events")
+def _(s, d):
+    """The daily run at three o'clock to which each event belongs."""
+    return t.events(s, d).select(F.date_format(F.col("ts") - F.expr("INTERVAL 3 HOURS"), "yyyy-MM-dd").alias("run_day")).distinct()
