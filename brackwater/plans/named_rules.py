@@ -191,12 +191,15 @@ def _(s, d):
     return held.groupBy("rec_id").agg(F.count("*").alias("n"))
 
 
-@query("sc13_envelope_items", "SELECT feed, count(*) AS n FROM (SELECT 'list' AS feed, unnest(range(3)) UNION ALL SELECT 'results', unnest(range(3)) UNION ALL SELECT 'items', unnest(range(3))) GROUP BY 1")
+@query("sc13_envelope_items", "SELECT alert_id, f.feed, alert_id AS item FROM (SELECT DISTINCT alert_id FROM alerts), (VALUES ('items'), ('list'), ('results')) f(feed)")
 def _(s, d):
-    """The three envelopes in which feeds are delivered, here each around three alerts."""
-    three = table(s, d, "alerts").select("alert_id").distinct().orderBy("alert_id").limit(3).agg(F.to_json(F.collect_list(F.struct("alert_id"))).alias("l"))
-    feeds = three.select(F.explode(F.map_from_arrays(F.array(F.lit("list"), F.lit("results"), F.lit("items")), F.array("l", F.concat(F.lit('{"results":'), "l", F.lit("}")), F.concat(F.lit('{"items":'), "l", F.lit("}"))))).alias("feed", "body"))
-    return payloads.envelope_items(feeds, "feed", "body").groupBy(F.col("rec_id").alias("feed")).agg(F.count("*").alias("n"))
+    """The three envelopes in which feeds are delivered, here each around every alert."""
+    one = table(s, d, "alerts").select("alert_id").distinct().select("alert_id", F.to_json(F.array(F.struct("alert_id"))).alias("l"))
+    forms = F.create_map(F.lit("list"), "l", F.lit("results"), F.concat(F.lit('{"results":'), "l", F.lit("}")), F.lit("items"), F.concat(F.lit('{"items":'), "l", F.lit("}")))
+    feeds = one.select("alert_id", F.explode(forms).alias("feed", "body")).select(F.concat_ws("|", "alert_id", "feed").alias("id"), "body")
+    found = payloads.envelope_items(feeds, "id", "body")
+    part = F.split("rec_id", r"\|")
+    return found.select(F.get(part, F.lit(0)).alias("alert_id"), F.get(part, F.lit(1)).alias("feed"), F.get_json_object("item", "$.alert_id").alias("item"))
 
 
 @query("jn15_semantic_decisions", "WITH s AS (SELECT q.vec_id AS query_id, x.vec_id, q.label = x.label AS same, list_cosine_similarity(q.embedding::double[], x.embedding::double[]) AS score FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), m AS (SELECT query_id, arg_min(vec_id, rank) AS vec_id, arg_min(score, rank) AS score FROM r WHERE rank <= 10 AND same AND score >= 0.3 GROUP BY 1) SELECT query_id, vec_id, CASE WHEN score >= 0.4 THEN 'merge' ELSE 'review' END AS decision FROM m")
