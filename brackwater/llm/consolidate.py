@@ -56,11 +56,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["v", "p"])
 
 
-def grid_parts(links: DataFrame, edges_per_cell: int) -> DataFrame:
-    """The links (v, p) hashed into the parts of the grid, each part in one task."""
-    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(links.count() / edges_per_cell)))
+def grid_parts(links: DataFrame, edges_per_cell: int, edges: int | None = None) -> DataFrame:
+    """The links (v, p) hashed into the parts of the grid, each part in one task; ``edges`` is their number, if known."""
+    edges = links.count() if edges is None else edges
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(edges / edges_per_cell)))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     celled = links.select("v", "p", (block("v") * blocks + block("p")).alias("cell"))
+    if edges <= edges_per_cell:
+        # No cell can hold more than all edges: none is split.
+        return celled.repartitionById(blocks * blocks, "cell").select("v", "p")
     # One row for each cell: blocks * blocks rows, that is edges / edges_per_cell or 16.
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / edges_per_cell).cast("int").alias("splits"))
     split = F.pmod(F.xxhash64("v", "p", F.lit(7)), F.col("splits")).cast("int")
@@ -73,6 +77,18 @@ def grid_parts(links: DataFrame, edges_per_cell: int) -> DataFrame:
     return placed.repartitionById(max(1, total), "part").select("v", "p")
 
 
+def _lifted(drawn: DataFrame, above: DataFrame, edges: int, edges_per_cell: int) -> DataFrame:
+    """``drawn`` (v, p) with ``up``, the representative of each parent; null where a parent has none."""
+    if 2 * edges <= edges_per_cell:
+        # A round draws at most two links for each edge: no parent can have more children than a part may hold.
+        return drawn.join(above, "p", "left")
+    hot = drawn.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > edges_per_cell).select("p")
+    # A parent that is smallest in all its parts has no row in ``above`` and keeps its children.
+    hot_above = hot.join(above, "p", "left")
+    cold = drawn.join(F.broadcast(hot), "p", "left_anti").join(above, "p", "left")
+    return cold.unionByName(drawn.join(F.broadcast(hot_above), "p").select("p", "v", "up"))
+
+
 def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """(v, group_id) of every vertex of the edges (a, b); group_id is the smallest vertex of its component.
 
@@ -87,24 +103,21 @@ def connected_groups(edges: DataFrame, edges_per_cell: int = EDGES_PER_CELL) ->
         "links",
     )
     while True:
-        stars = grid_parts(links, edges_per_cell).mapInArrow(_stars, "v string, p string")
+        count = links.count()
+        stars = grid_parts(links, edges_per_cell, count).mapInArrow(_stars, "v string, p string")
         # A vertex has at most one representative for each part it occurs in.
         heads = stored(stars.groupBy("v").agg(F.min("p").alias("m"), F.collect_set("p").alias("reps")), "heads")
         moved = heads.select(F.explode("reps").alias("v"), F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
         own = heads.select("v", F.col("m").alias("p")).filter(F.col("v") != F.col("p"))
-        drawn = own.unionByName(moved).distinct()
         # A parent that got a smaller representative in another part hands it on, so chains shrink by half.
         above = heads.select(F.col("v").alias("p"), F.col("m").alias("up"))
-        hot = drawn.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") > edges_per_cell).select("p")
-        # A parent that is smallest in all its parts has no row in heads and keeps its children.
-        hot_above = hot.join(above, "p", "left")
-        cold = drawn.join(F.broadcast(hot), "p", "left_anti").join(above, "p", "left")
-        lifted = cold.unionByName(drawn.join(F.broadcast(hot_above), "p").select("p", "v", "up"))
+        lifted = _lifted(own.unionByName(moved).distinct(), above, count, edges_per_cell)
         before, links = links, stored(lifted.select("v", F.coalesce("up", "p").alias("p")).filter("v <> p").distinct(), "links")
         release(before, heads)
-        loose = links.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 1).limit(1).count()
-        parents = links.select("p").distinct().join(links.select(F.col("v").alias("p")), "p", "left_semi")
-        if not loose and not parents.limit(1).count():
+        # Open while a vertex has two representatives or a parent has a parent.
+        loose = links.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("v").limit(1)
+        parents = links.select(F.col("p").alias("v")).distinct().join(links.select("v"), "v", "left_semi").limit(1)
+        if not loose.unionByName(parents).limit(1).count():
             break
     found = links.select("v", F.col("p").alias("group_id"))
     return found.unionByName(found.select(F.col("group_id").alias("v"), "group_id").distinct())
